@@ -65,3 +65,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     a = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), keys)
     b = marked.filter(F.col("_hot").isNull()).drop("_hot").join(cold, keys)
     return a.unionByName(b)
+
+
+#: Up to so many keys are broadcast to drop their rows; more go through an ordinary join.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are not among the dropped ones."""
+    dropped = materialise(dropped.select(keys).distinct(), "dropped")
+    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped, keys, "left_anti").select(rows.columns)
