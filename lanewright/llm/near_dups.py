@@ -86,6 +86,25 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
+#: Buckets of a sketch: how many shingles of a set fall into each.
+SKETCH = 128
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts in one or two bytes each; empty if they are larger."""
+    n = np.bincount(s & (SKETCH - 1), minlength=SKETCH)
+    most = n.max(initial=0)
+    return b"" if most >= 1 << 16 else n.astype("<u2" if most > 255 else "u1").tobytes()
+
+
+def most_overlap(x: bytes, y: bytes) -> int:
+    """No two sets with these sketches have more shingles in common."""
+    if not x or not y:
+        return 1 << 62
+    x, y = (np.frombuffer(v, "u1" if len(v) == SKETCH else "<u2") for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, whole: int) -> DataFrame:
     """id, n, hash of the set, and its first shingles in the common order: as many as a link must touch; all of small sets."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -93,17 +112,18 @@ def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, who
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            n, h1, h2, first = [], [], [], []
+            n, h1, h2, first, sketches = [], [], [], [], []
             for text in b["text"].to_pylist():
                 s = shingles(text, k, words)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
+                sketches.append(sketch(s))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 first.append(s if len(s) <= whole else ordered(s, shared.value)[: len(s) - least_overlap(len(s), t) + 1])
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "first"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n", "h1", "h2", "first", "sketch"])
 
-    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>")
+    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary")
 
 
 def _frequent(rows: DataFrame, k: int) -> np.ndarray:
@@ -147,9 +167,26 @@ def _small_links(sets: DataFrame, drop: int, most: int, t: tuple[int, int]) -> D
     return pairs.filter(fits & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets link. The sets are made again from the texts of these documents."""
-    pairs = materialise(pairs.distinct(), "pairs")
+def _possible(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Those of the distinct pairs (a, b) that the sketches of both sets allow to link."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yes = []
+            for n, m, x, y in zip(*(b[c].to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                both = min(n, m, most_overlap(x, y))
+                yes.append(t[1] * both >= t[0] * (n + m - both))
+            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(yes, pa.bool_())), b["b"].filter(pa.array(yes, pa.bool_()))], ["a", "b"])
+
+    left = sets.select(F.col("id").alias("a"), "n", F.col("sketch").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    joined = pairs.distinct().hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
+    return materialise(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(compared, "a long, b long"), "pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link. The whole sets are made again from the texts, for documents that need it."""
+    pairs = _possible(pairs, sets, t)
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +238,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = options[-1][2]
     all_sets = materialise(_sets(rows, k, t, _frequent(rows, k), whole), "sets")
     classes = all_sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    sets = materialise(all_sets.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi").select("id", "n", "first"), "classes")
+    sets = materialise(all_sets.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi").select("id", "n", "first", "sketch"), "classes")
 
     # Cost of each boundary: subsets of small sets against entries of lists, each of which may have to be looked up again.
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= whole).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `whole` rows
@@ -230,7 +267,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_hub = with_hub.filter((F.col("hub.id") < F.col("id")) & candidate(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
     star = with_hub.groupBy("id").agg(F.min("hub.id").alias("x"), F.min(F.struct("i", "hub.id"))["id"].alias("y"))
     pairs = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("id").alias("b"))
-    found = _verified(pairs, rows, k, t)
+    found = _verified(pairs, sets, rows, k, t)
     links = found if links is None else links.unionByName(found)
     comps = components(links)
 
@@ -241,7 +278,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = materialise(join_groups(tagged, open_lists.select("s", "c"), ["s"], "c", sets.count() * 8).drop("c"), "open")
     right = left.select("s", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "i", "comp")))
     across = left.hint("merge").join(right.hint("merge"), "s").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & candidate(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")))
-    more = _verified(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")), rows, k, t)
+    more = _verified(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")), sets, rows, k, t)
     comps = components(links.unionByName(more))
 
     groups = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "c", F.coalesce("comp", "rep").alias("component_id"))
