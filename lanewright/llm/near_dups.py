@@ -10,6 +10,7 @@ set of each list, and only sets of different components are compared pair by pai
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -86,6 +87,23 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
+#: Buckets of the small sketch that goes along with list entries, in the bytes of long integers.
+SMALL = 64
+PACKED = [f"k{i}" for i in range(SMALL // 8)]
+
+
+def packed(s: np.ndarray) -> list[int | None]:
+    """Counts of the small sketch, eight in an integer; null if they are larger than a byte."""
+    n = np.bincount(s & (SMALL - 1), minlength=SMALL)
+    return [None] * len(PACKED) if n.max(initial=0) > 255 else n.astype("u1").view("<i8").tolist()
+
+
+def packed_overlap(a: list, b: list):
+    """As most_overlap, for the columns of two small sketches; null if one of them is."""
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(255)
+    return reduce(lambda x, y: x + y, (F.least(byte(x, k), byte(y, k)) for x, y in zip(a, b, strict=True) for k in range(8)))
+
+
 #: Buckets of a sketch: how many shingles of a set fall into each.
 SKETCH = 128
 
@@ -112,18 +130,19 @@ def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, who
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            n, h1, h2, first, sketches = [], [], [], [], []
+            n, h1, h2, first, sketches, small = [], [], [], [], [], []
             for text in b["text"].to_pylist():
                 s = shingles(text, k, words)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 sketches.append(sketch(s))
+                small.append(packed(s))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 first.append(s if len(s) <= whole else ordered(s, shared.value)[: len(s) - least_overlap(len(s), t) + 1])
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n", "h1", "h2", "first", "sketch"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *(pa.array([x[c] for x in small], pa.int64()) for c in range(len(PACKED)))], ["id", "n", "h1", "h2", "first", "sketch", *PACKED])
 
-    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary")
+    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary, " + ", ".join(f"{c} long" for c in PACKED))
 
 
 def _frequent(rows: DataFrame, k: int) -> np.ndarray:
@@ -238,7 +257,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = options[-1][2]
     all_sets = materialise(_sets(rows, k, t, _frequent(rows, k), whole), "sets")
     classes = all_sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    sets = materialise(all_sets.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi").select("id", "n", "first", "sketch"), "classes")
+    sets = materialise(all_sets.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi").select("id", "n", "first", "sketch", *PACKED), "classes")
 
     # Cost of each boundary: subsets of small sets against entries of lists, each of which may have to be looked up again.
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= whole).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `whole` rows
@@ -248,7 +267,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_small_links(sets, drop, partner, t), "small") if drop else None
 
     # Inverted lists of the first shingles of large sets.
-    entries = sets.filter(F.col("n") > bound).select("id", "n", F.posexplode("first").alias("i", "s"))
+    entries = sets.filter(F.col("n") > bound).select("id", "n", *PACKED, F.posexplode("first").alias("i", "s"))
     need = lambda n: F.ceil(F.lit(t[0]) * n / t[1])
     entries = entries.filter(F.col("i") < F.col("n") - need(F.col("n")) + 1) if bound < whole else entries
     lists = entries.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
@@ -259,25 +278,28 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         over = F.ceil(F.lit(t[0]) * (n + m) / (t[0] + t[1]))
         return (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= over) & (F.least(n, m) * t[1] >= F.greatest(n, m) * t[0])
 
-    # First each set with one set of its lists: the smallest id of each list and size band, two for each set.
-    band = F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0])))
-    banded = entries.withColumn("band", band)
-    hubs = banded.groupBy("s", "band").agg(F.min(F.struct("id", "n", "i")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    with_hub = join_groups(banded, hubs, ["s", "band"], "c", sets.count() * 8)
-    with_hub = with_hub.filter((F.col("hub.id") < F.col("id")) & candidate(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
-    star = with_hub.groupBy("id").agg(F.min("hub.id").alias("x"), F.min(F.struct("i", "hub.id"))["id"].alias("y"))
-    pairs = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("id").alias("b"))
-    found = _verified(pairs, sets, rows, k, t)
-    links = found if links is None else links.unionByName(found)
-    comps = components(links)
+    # First each set with one set of its lists, of its size band: the smallest id, then the largest of another component.
+    # Each round compares at most two sets with each set, so a large group of near copies costs no more than others.
+    entries = materialise(entries.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0])))).withColumn("comp", F.col("id")), "banded")
+    found = [] if links is None else [links]
+    for least in (F.min, F.max):
+        hubs = entries.groupBy("s", "band").agg(least(F.struct("comp", "id", "n", "i")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+        with_hub = join_groups(entries, hubs, ["s", "band"], "c", sets.count() * 8)
+        with_hub = with_hub.filter((F.col("hub.comp") != F.col("comp")) & candidate(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
+        star = with_hub.groupBy("id").agg(least("hub.id").alias("x"), F.min(F.struct("i", "hub.id"))["id"].alias("y"))
+        pairs = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("h"), "id").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
+        found.append(_verified(pairs, sets, rows, k, t))
+        links = reduce(DataFrame.unionByName, found)
+        comps = components(links)
+        entries = materialise(entries.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "tagged")
 
     # Then all pairs of different components that a list holds.
-    tagged = entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tagged = materialise(tagged, "tagged")
-    open_lists = tagged.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    left = materialise(join_groups(tagged, open_lists.select("s", "c"), ["s"], "c", sets.count() * 8).drop("c"), "open")
-    right = left.select("s", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "i", "comp")))
-    across = left.hint("merge").join(right.hint("merge"), "s").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & candidate(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")))
+    open_lists = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    left = materialise(join_groups(entries, open_lists.select("s", "c"), ["s"], "c", sets.count() * 8).drop("c"), "open")
+    right = left.select("s", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "i", "comp", *PACKED)))
+    both = F.coalesce(packed_overlap([F.col(x) for x in PACKED], [F.col(f"{x}_b") for x in PACKED]), F.lit(1 << 40))
+    room = both * (t[0] + t[1]) >= t[0] * (F.col("n") + F.col("n_b"))
+    across = left.hint("merge").join(right.hint("merge"), "s").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & candidate(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")) & room)
     more = _verified(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")), sets, rows, k, t)
     comps = components(links.unionByName(more))
 
