@@ -55,11 +55,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """Inner join of rows with one row per group, where a group may hold a third of all rows.
 
     Groups over total / HOT_SHARE rows number fewer than HOT_SHARE, whatever the data; these are broadcast, and their
-    rows never meet in one task. All others go through an ordinary join.
+    rows never meet in one task. All others go through an ordinary join. Groups are written first, so they are made once.
     """
     least = max(2, total // HOT_SHARE)
+    groups = materialise(groups, "groups")
     hot = groups.filter(F.col(size) > least)
     cold = groups.filter(F.col(size) <= least)
+    if not hot.limit(1).count():
+        return rows.join(groups, keys)
     mark = hot.select(*keys, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(mark), keys, "left")
     a = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), keys)
