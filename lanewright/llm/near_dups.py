@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, materialise
 
-#: About so many documents are looked at to find frequent shingles, and at most so many of these are told apart. Both only
-#: choose an order of the shingles; the result does not depend on them.
-SAMPLE, FREQUENT = 8_000, 200_000
+#: Each task counts the shingles of all its sets in a summary of this many counters, and hands on at most so many of the
+#: largest; of all tasks, so many are taken for frequent. These only choose an order of the shingles; the result does not
+#: depend on them.
+COUNTERS, HANDED, FREQUENT = 1 << 19, 1 << 16, 200_000
+#: Digests of sets that a task remembers, so that copies count once.
+REMEMBERED = 1 << 18
 #: Up to so many ids of candidates are broadcast to pick their texts; more go through an ordinary join.
 BROADCAST_IDS = 1_000_000
 EMPTY = np.zeros(0, np.int64)
@@ -145,19 +148,56 @@ def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, who
     return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary, " + ", ".join(f"{c} long" for c in PACKED))
 
 
+class Counters:
+    """Counts of keys in bounded memory: as Misra and Gries, a count falls short by at most the total over `most`."""
+
+    def __init__(self, most: int):
+        self.most, self.keys, self.counts, self.new, self.waiting = most, EMPTY, EMPTY, [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.waiting += len(keys)
+        if self.waiting >= self.most:
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *self.new])
+        counts = np.concatenate([self.counts, np.ones(len(keys) - len(self.keys), np.int64)])
+        self.new, self.waiting = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else EMPTY
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else EMPTY
+        if len(self.keys) > self.most:
+            cut = np.partition(self.counts, len(self.counts) - self.most - 1)[len(self.counts) - self.most - 1]
+            left = self.counts > cut
+            self.keys, self.counts = self.keys[left], self.counts[left] - cut
+
+    def largest(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        at = np.flatnonzero(self.counts >= least)
+        at = at[np.argsort(-self.counts[at], kind="stable")[:n]]
+        return self.keys[at], self.counts[at]
+
+
 def _frequent(rows: DataFrame, k: int) -> np.ndarray:
-    """Shingles of several different sets of a sample, sorted."""
-    total = rows.count()
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
+    """Shingles that are in many different sets of all rows, sorted."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counters, seen = Words(), Counters(COUNTERS), set()
         for b in batches:
-            sets = [shingles(x, k, words) for x in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "s"])
-
-    sets = sample.mapInArrow(made, "h long, s array<long>").dropDuplicates(["h"])
-    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c >= 3")
+            for text in b["text"].to_pylist():
+                s = shingles(text, k, words)
+                d = xxhash.xxh3_64_intdigest(s.tobytes())
+                if d not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(d)
+                    counters.add(s)
+        keys, counts = counters.largest(HANDED, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["s", "c"])
+
+    counts = rows.select("text").mapInArrow(counted, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter("c >= 3")
     return np.sort(counts.orderBy(F.desc("c"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(np.int64))
 
 

@@ -197,3 +197,15 @@ def test_html(spark):
     got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["text"] == "A & B\n\none two three\n\nfour" and got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "cut < of"
     assert got[5]["n_chars"] == 5000 * 9 + 4999 * 2
+
+
+def test_counters_fall_short_by_a_bounded_count():
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([np.repeat(np.arange(20), 400), rng.integers(1000, 10**9, 20_000)])
+    rng.shuffle(keys)
+    counters = near_dups.Counters(500)
+    for part in np.array_split(keys, 97):
+        counters.add(part)
+    found = dict(zip(*(x.tolist() for x in counters.largest(20, 1)), strict=True))
+    assert set(found) == set(range(20)) and all(400 - len(keys) / 500 <= n <= 400 for n in found.values())
+    assert not len(near_dups.Counters(5).largest(3, 1)[0])
