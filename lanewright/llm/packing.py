@@ -191,7 +191,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: s
     placed = exact.select(columns).unionByName(fitted.select(columns))
 
     # The rest as one stream, in the order of parts, and the room as another; overlaps of the two are the last pieces.
-    rest = found.filter(F.col("sequence_id").isNull())
+    # Both are written once: each is used several times, and without this the plan repeats the joins above for every use.
+    rest = materialise(found.filter(F.col("sequence_id").isNull()).select("id", "start", "length", "doc_tokens", "ids", "part", "class", "rank"), "rest")
     per_part = rest.groupBy("part").agg(F.sum("length").alias("t"))
     bases = running_total(per_part.withColumn("part", F.col("part").cast("long")), "part", "t", "base_t").select(F.col("part").cast("int").alias("part"), "base_t")
     run = Window.partitionBy("part").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,7 +200,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: s
     rest = rest.select("id", "start", "length", "doc_tokens", "ids", "from", (F.col("from") + F.col("length")).alias("to"))
 
     room = fitted.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("free", F.lit(window) - F.col("used"))
-    room = running_total(room.filter(F.col("free") > 0), "sequence_id", "free", "room_from")
+    room = materialise(running_total(materialise(room.filter(F.col("free") > 0), "free"), "sequence_id", "free", "room_from"), "room")
     totals = room.agg(F.coalesce(F.sum("free"), F.lit(0)).alias("t")).collect()[0]["t"]
     room = room.select("sequence_id", F.col("used").alias("at"), "room_from", (F.col("room_from") + F.col("free")).alias("room_to"))
     # Beyond the room of the combinations, windows of their own: positions map to them by arithmetic.
