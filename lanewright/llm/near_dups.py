@@ -24,9 +24,9 @@ from .common import join_groups, materialise
 #: Each task counts the shingles of all its sets in a summary of this many counters, and hands on at most so many of the
 #: largest; of all tasks, so many are taken for frequent. These only choose an order of the shingles; the result does not
 #: depend on them.
-COUNTERS, HANDED, FREQUENT = 1 << 19, 1 << 16, 200_000
+COUNTERS, HANDED, FREQUENT = 1 << 18, 1 << 16, 200_000
 #: Digests of sets that a task remembers, so that copies count once.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Up to so many ids of candidates are broadcast to pick their texts; more go through an ordinary join.
 BROADCAST_IDS = 1_000_000
 EMPTY = np.zeros(0, np.int64)
@@ -35,7 +35,7 @@ EMPTY = np.zeros(0, np.int64)
 class Words(dict):
     """64-bit hashes of words, remembered up to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -38,7 +38,7 @@ def features(word: str) -> list[int]:
 class Features(dict):
     """From a run without white space to its features among the chosen ones (index by bucket), remembered up to `most` runs."""
 
-    def __init__(self, index: np.ndarray | None, most: int = 400_000):
+    def __init__(self, index: np.ndarray | None, most: int = 150_000):
         super().__init__()
         self.index, self.most = index, most
 
