@@ -243,10 +243,10 @@ def fold(text: str) -> str:
 
 
 class WordCoder:
-    """Token ids for texts in a vocabulary with word ends. Units seen before come from a table that is emptied at `most`
-    entries; this only costs time."""
+    """Token ids for texts in a vocabulary with word ends. Units seen before come from a table of up to `most`
+    units, or those of one call of `learn`."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.bpe, self.most, self.known, self.pieces = load(path), most, {}, {}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
 
@@ -254,21 +254,33 @@ class WordCoder:
         """What is kept for a piece: its ids, two bytes each."""
         return ids
 
-    def learn(self, texts: list[str]) -> None:
-        """Makes sure that all units of the texts are known."""
-        new = set(units(" ".join(texts))).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.pieces.clear()
-            new = set(units(" ".join(texts)))
-        find = word_pattern().findall
-        split = {u: find(fold(u)) for u in new}
-        missing = list({p for ps in split.values() for p in ps}.difference(self.pieces))
+    def learn(self, seen: set[str]) -> None:
+        """Makes sure that all these units are known. Where the tables would outgrow `most`, only what is in use stays."""
+        new = list(seen.difference(self.known))
+        if not new:
+            return
+        full = len(self.known) + len(new) > self.most
+        if full:
+            self.known = {u: self.known[u] for u in seen if u in self.known}
+        find, whole, split = word_pattern().findall, {}, {}
+        # Units have no line ends, and folding makes none. Letters alone are one piece, and a stop after them is another.
+        for u, f in zip(new, fold("\n".join(new)).split("\n"), strict=True):
+            if f.isalpha():
+                whole[u] = f
+            elif f[-1] in ".,;:!?" and f[:-1].isalpha():
+                split[u] = (f[:-1], f[-1])
+            else:
+                split[u] = find(f)
+        wanted = set(whole.values()).union(*split.values())
+        if full:
+            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        missing = list(wanted.difference(self.pieces))
         coded = self.bpe.encode_words([p.encode("utf-8", "surrogatepass") for p in missing])
         self.pieces.update(zip(missing, map(self.value, coded), strict=True))
         get = self.pieces.__getitem__
+        self.known.update(zip(whole, map(get, whole.values()), strict=True))
         for u, ps in split.items():
-            self.known[u] = get(ps[0]) if len(ps) == 1 else self.joined(list(map(get, ps)))
+            self.known[u] = self.joined(list(map(get, ps)))
 
     def joined(self, values: list):
         return b"".join(values)
@@ -281,12 +293,12 @@ class WordCoder:
         """Texts of any kind; marks such as an end-of-text string count as the single token they name."""
         texts = [t or "" for t in texts]
         marked = {i: self.marks.split(t) for i, t in enumerate(texts) if "<|" in t and self.marks.search(t)}
-        plain = [" ".join(marked[i][::2]) if i in marked else t for i, t in enumerate(texts)]
-        self.learn(plain)
+        runs = [units(" ".join(marked[i][::2]) if i in marked else t) for i, t in enumerate(texts)]
+        self.learn(set().union(*runs))
         out = []
-        for i, t in enumerate(texts):
+        for i, own in enumerate(runs):
             if i in marked:
                 out.append(self.joined([self.value(np.array([self.bpe.special[x]], "<u2").tobytes()) if k % 2 else self.encode(x) for k, x in enumerate(marked[i])]))
             else:
-                out.append(self.encode(t))
+                out.append(self.joined(list(map(self.known.__getitem__, own))))
         return out

@@ -40,7 +40,7 @@ class TextCoder(WordCoder):
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> TextCoder:
-    return TextCoder(path, most=300_000)
+    return TextCoder(path)
 
 
 def halves(text: str, leaf: int) -> list[str]:
