@@ -142,7 +142,8 @@ def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, who
                 small.append(packed(s))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & ((1 << 64) - 1)) - (1 << 63))
-                first.append(s if len(s) <= whole else ordered(s, shared.value)[: len(s) - least_overlap(len(s), t) + 1])
+                s = ordered(s, shared.value)
+                first.append(s if len(s) <= whole else s[: len(s) - least_overlap(len(s), t) + 1])
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *(pa.array([x[c] for x in small], pa.int64()) for c in range(len(PACKED)))], ["id", "n", "h1", "h2", "first", "sketch", *PACKED])
 
     return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary, " + ", ".join(f"{c} long" for c in PACKED))

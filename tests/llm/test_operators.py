@@ -133,6 +133,28 @@ def test_near_dups(spark, empty, t):
     assert not near_dups.join_components(empty, t=t).collect()
 
 
+@pytest.mark.parametrize("t", [(90, 100), (80, 100)])
+def test_near_dups_across_the_size_of_whole_sets(spark, t):
+    """Isolated pairs of a set that is kept whole and a larger one, of shingles that many sets have and shingles of their own."""
+    rng = random.Random(11)
+    sets = []
+    for p, (n, m) in enumerate([(27, 29), (28, 29), (28, 31), (13, 14), (13, 16), (12, 14)] * 25):
+        often = n // 2
+        small = [f"often{i}" for i in rng.sample(range(150), often)] + [f"own{p}x{i}" for i in range(n - often)]
+        sets += [set(small), {*small, *(f"more{p}x{i}" for i in range(m - n))}]
+    parent = list(range(len(sets)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i in range(len(sets)):
+        for j in range(i):
+            if t[1] * len(sets[i] & sets[j]) >= t[0] * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = [(i, len(x), find(i)) for i, x in enumerate(sets)]
+    assert sum(i != c for i, _, c in want) >= 75
+    frame = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dups.join_components(frame, k=1, t=t).collect())) == want
+
+
 def test_sketches_never_fall_short():
     rng = np.random.default_rng(1)
     for n in (1, 30, 700, 40_000):
