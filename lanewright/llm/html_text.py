@@ -27,6 +27,11 @@ INSIDE = set("article main".split())
 #: Words in class, id and role attributes that mark what is not the article, and what is.
 MARKS_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|footer|header|masthead|sidebar|aside|related|widget|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|comments?|replies|disqus|login|search\w*|contentinfo|complementary|form)(?:$|[\s_-])", re.I)
 MARKS_INSIDE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|main)(?:$|[\s_-])", re.I)
+#: Words of these attributes that tell of the state of a page, not of what the element is: has-sidebar, comments-open.
+_STATE = re.compile(r"(?<!\S)(?:(?:has|with|without|no)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled|allowed))(?!\S)", re.I)
+#: Elements that stay outside the article whatever they hold. Forms and marked elements may be wrappers of the page.
+FINAL = set("nav footer header aside menu dialog".split())
+FORMS = set("form fieldset".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -78,26 +83,35 @@ def classify(node: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def region(name: str, attrs: str, above: int) -> int:
-    """The region that an element opens within the region above it. What is outside the article stays outside."""
+def marks_of(attrs: str) -> str:
+    return _STATE.sub(" ", " ".join(next(filter(None, m), "") for m in _ATTR.findall(attrs))) if attrs else ""
+
+
+def region(name: str, attrs: str, above: int, opened: bool = False) -> int:
+    """The region that an element opens within the region above it. What is outside the article stays outside.
+
+    An opened element is a wrapper of the article: that it looks like an outside region does not count.
+    """
     if above < 0:
         return above
-    if name in OUTSIDE or (name == "header" and above == 0) or _HIDDEN.search(attrs):
+    if not opened and (name in OUTSIDE or (name == "header" and above == 0)) or _HIDDEN.search(attrs):
         return -1
-    marks = " ".join(next(filter(None, m), "") for m in _ATTR.findall(attrs)) if attrs else ""
+    marks = marks_of(attrs)
     if name in INSIDE:
-        return -1 if above == 1 and MARKS_OUTSIDE.search(marks) else 1
+        return -1 if above == 1 and not opened and MARKS_OUTSIDE.search(marks) else 1
     if name not in ("html", "body") and marks:
-        if MARKS_OUTSIDE.search(marks):
+        if not opened and MARKS_OUTSIDE.search(marks):
             return -1
         if MARKS_INSIDE.search(marks):
             return 1
     return above
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """Flat blocks in page order: text, words, words in links, region, heading."""
+def parsed(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[tuple[str, str, int]]]:
+    """Flat blocks in page order: text, words, words in links, container, heading; and containers: name, attributes, container
+    around it. Containers are places in their list, -1 for none."""
     out: list[tuple[str, int, int, int, int]] = []
+    nodes: list[tuple[str, str, int]] = []
     stack: list[tuple[str, int]] = []
     text: list[str] = []
     linked = links = heading = pos = 0
@@ -106,7 +120,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         nonlocal linked
         words = "".join(text).split()
         if words:
-            out.append((" ".join(words), len(words), min(linked, len(words)), stack[-1][1] if stack else 0, heading))
+            out.append((" ".join(words), len(words), min(linked, len(words)), stack[-1][1] if stack else -1, heading))
         text.clear()
         linked = 0
 
@@ -141,7 +155,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 heading = 0 if closing else 1
             elif name in CONTAINERS:
                 if not closing:
-                    stack.append((name, region(name, m[3], stack[-1][1] if stack else 0)))
+                    nodes.append((name, m[3], stack[-1][1] if stack else -1))
+                    stack.append((name, len(nodes) - 1))
                 elif any(s[0] == name for s in stack):
                     while stack.pop()[0] != name:
                         pass
@@ -149,17 +164,73 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             elif not closing:
                 heading = 0
     flush()
+    return out, nodes
+
+
+def regions(nodes: list[tuple[str, str, int]], opened: set[int]) -> list[int]:
+    """The region of each container, and at the end that of no container."""
+    out = [0] * (len(nodes) + 1)
+    for i, (name, attrs, above) in enumerate(nodes):
+        out[i] = region(name, attrs, out[above], i in opened)
     return out
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    found = [blocks(p) for p in pages]
+def kept(found: list[list[tuple[str, int, int, int, int]]]) -> np.ndarray:
+    """Which blocks of all pages, with their regions, the tree takes for main text."""
     rows = []
     for bs in found:
-        sizes = [(w, k / w) for _, w, k, _, _ in bs]
-        padded = [(0, 0.0), *sizes, (0, 0.0)]
+        padded = [(0, 0.0), *((w, k / w) for _, w, k, _, _ in bs), (0, 0.0)]
         rows += [[*padded[i + 1], *padded[i], *padded[i + 2], b[3], b[4]] for i, b in enumerate(bs)]
-    keep = classify(tree(), np.array(rows, float).reshape(len(rows), 8)).tolist()
+    return classify(tree(), np.array(rows, float).reshape(len(rows), 8))
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+    """Flat blocks in page order: text, words, words in links, region, heading.
+
+    A form or marked element that holds most words of the page may be a wrapper of the article, and is opened then: all are
+    where article or main is found in them only, and where nothing is kept otherwise. Forms are, if no such element is beside
+    them and most of the words in marked regions are inside, and within article or main.
+    """
+    bs, nodes = parsed(page)
+    placed = lambda r: [(*b[:3], r[b[3]], b[4]) for b in bs]
+    words = [0] * (len(nodes) + 1)
+    for b in bs:
+        words[b[3]] += b[1]
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i][2] >= 0:
+            words[nodes[i][2]] += words[i]
+    half = sum(b[1] for b in bs) / 2
+    large = [i for i in range(len(nodes)) if words[i] > half and nodes[i][0] not in FINAL]
+
+    def opening(names: set[str] | None, least: int = 0) -> list[int]:
+        opened: set[int] = set()
+        r = regions(nodes, opened)
+        for i in large:
+            if r[i] < 0 and r[nodes[i][2]] >= least and (names is None or nodes[i][0] in names):
+                opened.add(i)
+                r = regions(nodes, opened)
+        return r
+
+    closed = regions(nodes, set())
+    if not any(closed[i] < 0 for i in large):
+        return placed(closed)
+    own = [False] * (len(nodes) + 1)  # inside article or main
+    for i, (name, attrs, above) in enumerate(nodes):
+        own[i] = own[above] or (name in INSIDE and not MARKS_OUTSIDE.search(marks_of(attrs)))
+    inside = lambda r, sure: sum(b[1] for b in bs if r[b[3]] == 1 and (own[b[3]] or not sure))
+    if inside(closed, True):
+        return placed(opening(FORMS, 1))
+    r = opening(None)
+    if inside(r, True):
+        return placed(r)
+    forms, marked = opening(FORMS), inside(closed, False)
+    out = placed(forms if not marked or inside(forms, False) > 2 * marked else closed)
+    return out if kept([out]).any() else placed(r)
+
+
+def main_texts(pages: list[str]) -> list[str]:
+    found = [blocks(p) for p in pages]
+    keep = kept(found).tolist()
     out, k = [], 0
     for bs in found:
         out.append("\n\n".join(b[0] for b, yes in zip(bs, keep[k : k + len(bs)], strict=True) if yes))

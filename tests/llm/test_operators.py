@@ -221,6 +221,24 @@ def test_html(spark):
     assert got[5]["n_chars"] == 5000 * 9 + 4999 * 2
 
 
+@pytest.mark.parametrize("tag", ['div class="layout has-sidebar"', 'div class="content with-sidebar"', 'div class="post comments-open"', 'form id="aspnetForm"', 'div class="promo-frame"'])
+def test_wrappers_that_look_like_outside_regions_keep_the_article(tag):
+    body = " ".join(["plain words of the text"] * 12)
+    end = f"</{tag.split()[0]}>"
+    side = '<div class="sidebar"><p>side words here</p></div><footer><p>foot words</p></footer>'
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="entry">', "</div>")):
+        page = f"<body><{tag}><nav><a href=x>Menu</a></nav>{open_}<p>{body}</p><p>{body}</p>{close}{side}{end}</body>"
+        assert html_text.main_texts([page]) == [f"{body}\n\n{body}"]
+    assert body in html_text.main_texts([f"<body><{tag}><p>{body}</p><p>{body}</p><p>{body}</p>{end}</body>"])[0]
+
+
+def test_outside_regions_beside_an_article_stay_outside():
+    few, many = "a few words of the article text itself", " ".join(["what others say"] * 40)
+    comments = f'<div class="comments"><div class="comment"><div class="content"><p>{many}</p></div></div></div>'
+    assert html_text.main_texts([f"<article><p>{few}</p></article>{comments}", f"<article><p>{few}</p></article><form><p>{many}</p></form>"]) == [few, few]
+    assert html_text.main_texts([f'<div style="display:none"><article><p>{many}</p></article></div>', f"<footer><p>{many}</p></footer>"]) == ["", ""]
+
+
 def test_counters_fall_short_by_a_bounded_count():
     rng = np.random.default_rng(2)
     keys = np.concatenate([np.repeat(np.arange(20), 400), rng.integers(1000, 10**9, 20_000)])
