@@ -32,6 +32,8 @@ _STATE = re.compile(r"(?<!\S)(?:(?:has|with|without|no)[-_]\S+|\S+[-_](?:open|cl
 #: Elements that stay outside the article whatever they hold. Forms and marked elements may be wrappers of the page.
 FINAL = set("nav footer header aside menu dialog".split())
 FORMS = set("form fieldset".split())
+#: Silent elements whose content ends at their end tag or with the page. Others without an end tag are passed over.
+RAW = set("script style textarea title iframe".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -107,11 +109,28 @@ def region(name: str, attrs: str, above: int, opened: bool = False) -> int:
     return above
 
 
+def silent_ends(page: str, name: str) -> dict[int, int]:
+    """For each start tag of a silent element that has its end tag: where it ends, and where its end tag does."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.compile(rf"<(/?){re.escape(name)}\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.I).finditer(page):
+        if m[0].endswith("/>"):
+            continue
+        if not m[1]:
+            if name in ("button", "select"):  # these do not nest
+                open_.clear()
+            open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def parsed(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[tuple[str, str, int]]]:
     """Flat blocks in page order: text, words, words in links, container, heading; and containers: name, attributes, container
     around it. Containers are places in their list, -1 for none."""
     out: list[tuple[str, int, int, int, int]] = []
     nodes: list[tuple[str, str, int]] = []
+    ends: dict[str, dict[int, int]] = {}
     stack: list[tuple[str, int]] = []
     text: list[str] = []
     linked = links = heading = pos = 0
@@ -141,8 +160,13 @@ def parsed(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[tuple[
         if name in SILENT:
             flush() if name not in ("button", "select") else text.append(" ")
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
+                if name in RAW:
+                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
+                    pos = end.end() if end else len(page)
+                else:
+                    if name not in ends:
+                        ends[name] = silent_ends(page, name)
+                    pos = ends[name].get(pos, pos)
         elif name in INLINE:
             if name == "br":
                 text.append(" ")

@@ -239,6 +239,15 @@ def test_outside_regions_beside_an_article_stay_outside():
     assert html_text.main_texts([f'<div style="display:none"><article><p>{many}</p></article></div>', f"<footer><p>{many}</p></footer>"]) == ["", ""]
 
 
+@pytest.mark.parametrize("name", "button select object audio video canvas svg math template noscript".split())
+def test_silent_elements_without_an_end_tag_drop_nothing(name):
+    article = "<article><p>one two three</p></article>"
+    assert html_text.main_texts([f"<div><{name} class=x>{article}</div>"]) == ["one two three"]
+    assert html_text.main_texts([f"<div><{name}></div>{article}<div><{name}>no</{name}></div>"]) == ["one two three"]
+    assert html_text.main_texts([f"<article><{name}>no</{name}><p>yes</p></article>"]) == ["yes"]
+    assert html_text.main_texts(["<article><p>yes</p><svg><svg>no</svg>no</svg><script>no"]) == ["yes"]
+
+
 def test_counters_fall_short_by_a_bounded_count():
     rng = np.random.default_rng(2)
     keys = np.concatenate([np.repeat(np.arange(20), 400), rng.integers(1000, 10**9, 20_000)])
