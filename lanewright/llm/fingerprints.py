@@ -20,11 +20,11 @@ SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 
 
 @lru_cache(maxsize=1)
-def compositions() -> tuple[list[tuple[str, str]], str, str]:
+def compositions() -> tuple[list[tuple[str, str]], list[tuple[str, str]], str, str]:
     """What canonical composition does, from the Unicode tables at hand: pairs in the order in which they are to be replaced,
-    and single characters with what stands for them."""
-    pairs, singles = [], []
-    for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0x10000)]):
+    single characters that stand for several, and single characters with what stands for them. Hangul has rules of its own."""
+    pairs, several, singles = [], [], []
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x110000)]):
         parts = unicodedata.decomposition(c)
         if not parts or parts.startswith("<"):
             continue
@@ -34,16 +34,41 @@ def compositions() -> tuple[list[tuple[str, str]], str, str]:
             pairs.append((len(unicodedata.normalize("NFD", c)), unicodedata.normalize("NFC", first) + second, c))
         elif len(folded) == 1:
             singles.append((c, folded))
+        else:
+            several.append((c, folded))
     pairs.sort()
-    return [(a, b) for _, a, b in pairs], "".join(a for a, _ in singles), "".join(b for _, b in singles)
+    return [(a, b) for _, a, b in pairs], several, "".join(a for a, _ in singles), "".join(b for _, b in singles)
+
+
+#: Jamo: leading consonants, vowels, trailing consonants; a syllable of the first two, and what may follow to join it.
+LEADING, VOWELS, TRAILING = r"[\x{1100}-\x{1112}]", r"[\x{1161}-\x{1175}]", r"[\x{11A8}-\x{11C2}]"
+JOINING = rf"{LEADING}{VOWELS}|[\x{{AC00}}-\x{{D7A3}}]{TRAILING}"
+
+
+def hangul(text: Column) -> Column:
+    """Jamo become syllables. The text is cut before each place where some join; each part has them at its start."""
+
+    def joined(part: Column) -> Column:
+        a, b, c = (F.ascii(F.substring(part, i, 1)) for i in (1, 2, 3))  # code points
+        tail = lambda x: F.when(x.between(0x11A8, 0x11C2), x - 0x11A7).otherwise(0)
+        two = a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175)
+        one = a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2)
+        code = F.when(two, F.lit(0xAC00) + ((a - 0x1100) * 21 + b - 0x1161) * 28 + tail(c)).otherwise(a + tail(b))
+        used = F.when(two & (tail(c) > 0), 3).otherwise(2)
+        made = F.concat(F.decode(F.unhex(F.hex(code)), "UTF-16BE"), part.substr(used + 1, F.length(part)))
+        return F.when(two | one, made).otherwise(part)
+
+    return F.when(text.rlike(JOINING), F.array_join(F.transform(F.split(text, f"(?={JOINING})"), joined), "")).otherwise(text)
 
 
 def composed(text: Column) -> Column:
     """Base letters and the marks that follow them become single characters. Texts of Latin letters without marks pass."""
-    pairs, old, new = compositions()
-    table = F.split(F.lit(",".join(a + b for a, b in pairs)), ",")  # one constant: what to replace, then one character
-    slow = F.aggregate(table, F.translate(text, old, new), lambda t, p: F.replace(t, F.left(p, F.length(p) - 1), F.right(p, F.lit(1))))
-    return F.when(text.rlike(r"[^\x{00}-\x{02FF}]"), slow).otherwise(text)
+    pairs, several, old, new = compositions()
+    # Constants: what to replace, then one character; and one character, then what stands for it.
+    table, apart = (F.split(F.lit(",".join(a + b for a, b in x)), ",") for x in (pairs, several))
+    slow = F.aggregate(apart, F.translate(text, old, new), lambda t, p: F.replace(t, F.left(p, F.lit(1)), F.substring(p, 2, 9)))
+    slow = F.aggregate(table, slow, lambda t, p: F.replace(t, F.left(p, F.length(p) - 1), F.right(p, F.lit(1))))
+    return F.when(text.rlike(r"[^\x{00}-\x{02FF}]"), hangul(slow)).otherwise(text)
 
 
 def canonical(text: Column) -> Column:

@@ -100,6 +100,18 @@ def test_fingerprints(docs, empty):
     assert not fingerprints.edited_fingerprints(empty).collect()
 
 
+def test_composition_of_hangul_and_higher_planes(spark):
+    import unicodedata
+
+    texts = ["한국어 문서 각 가 값 뷁", "가\u11a8 각\u11a8 \u1100\u1161\u11a8\u11a8 \u1100 \u1161 \u11a8\u1100\u1161", "\U0001109a x \U0001112e \U000114bc \U0002f800", "\u0958 \u0344 \u03b9\u0344 \ufb2a \U0001d15e", "e\u0301 한 é Ω", "日本語 😀"]
+    texts = [x for t in texts for x in (t, unicodedata.normalize("NFD", t))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    got = {r["id"]: r["c"] for r in rows.select("id", fingerprints.composed(rows["text"]).alias("c")).collect()}
+    assert got == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    both = spark.createDataFrame([(0, texts[0]), (1, texts[1])], "doc_id long, text string")
+    assert len({r["fingerprint"] for r in fingerprints.edited_fingerprints(both).collect()}) == 1
+
+
 def test_equal_hashes_of_different_texts_get_suffixes(spark):
     rows = spark.createDataFrame([(1, 1, "t", "h", "a"), (2, 2, "t", "h", "b"), (3, 3, "t", "h", "b"), (4, 4, "t", "g", "c"), (5, 5, "t", "g", "c")], "id long, row long, kind string, hash string, canon string")
     assert sorted((r["id"], r["suffix"]) for r in fingerprints.suffixes(rows).collect()) == [(2, 1), (3, 1)]
