@@ -22,9 +22,9 @@ BUCKETS, RUN = 1 << 16, 16
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """What stands for each code point of the first plane: lower-case letters for themselves, the rest as 0."""
-    out = np.zeros(1 << 16, np.uint32)
-    for c in range(1 << 16):
+    """What stands for each code point: lower-case letters for themselves, the rest as 0."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             out[c] = ord(x.lower()[0])
@@ -35,9 +35,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all trigrams of all texts, where each text starts, and letters of each text."""
     joined = "\n".join(texts) + "\n\n\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = letters()
-    folded = np.where(codes < (1 << 16), table[np.minimum(codes, (1 << 16) - 1)], codes)
-    a = folded.astype(np.uint32)
+    a = folded = letters()[codes]
     h = (a[:-2] * np.uint32(0x9E3779B1)) ^ (a[1:-1] * np.uint32(0x85EBCA77)) ^ (a[2:] * np.uint32(0xC2B2AE3D))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1

@@ -185,6 +185,12 @@ def test_language(spark, empty):
     assert not language_id.identify(empty.selectExpr("doc_id", "text", "row as lang")).collect()
 
 
+def test_symbols_of_higher_planes_are_no_letters(spark):
+    rows = [(i, "the of and that with from", "en") for i in range(9)] + [(20, "😀😀 🎉 𝄞", None), (21, "𐐀𐐁𐐂", None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[20] == "und" and found[21] == found[0] == "en"
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows, labels = [], []
