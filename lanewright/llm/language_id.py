@@ -135,6 +135,19 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
     return docs.select(*[F.col(f"`{f}`") for f in fields]).mapInArrow(judged, f"{schema}, lang_pred string, score double")
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, counts = [t or "" for t in b[text_col].to_pylist()], []
+            for i, j in _parts(texts, 1 << 20):
+                counts += trigrams(texts[i:j])[2].tolist()
+            yield b.filter(pa.array([n > 0 for n in counts], pa.bool_()))
+
+    return docs.mapInArrow(chosen, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each row of docs: id, held_out, lang_pred, score. Learns from rows that are not held out and have a lang."""
     names, table = train(docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()), text_col, lang_col)

@@ -100,3 +100,13 @@ def test_held_out_labels_are_not_learned(spark, folder):
     turned = labels.selectExpr("doc_id", f"CASE WHEN doc_id IN ({','.join(map(str, held))}) THEN 1 - toxic ELSE toxic END AS toxic")
     a, b = ({(r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity(docs, x).collect()} for x in (labels, turned))
     assert a == b
+
+
+def test_without_learned_languages_texts_with_letters_stay(spark):
+    rows = [(0, "the river", None), (1, "123 ... 4", None), (2, None, None), (3, "", None), (4, "日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 4]
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1)
+    one = spark.createDataFrame([(held, "the river", "en")], docs.schema)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, one, "").collect()] == [held]
