@@ -112,8 +112,11 @@ def plan(counts: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarra
     return a, times
 
 
-def tokenised(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
-    """Pieces of all documents: part, rank (in its class and part), class, id, start, length, ids_crc32, doc_tokens, ids."""
+def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool = False) -> DataFrame:
+    """Pieces of all documents: part, rank (in its class and part), class, id, start, length, ids_crc32, doc_tokens, ids.
+
+    Nothing is cut from full windows again, so their ids are null unless they are asked for.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     step = -(-window // CLASSES)
 
@@ -135,7 +138,7 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
                         n = len(own) // 2
                         cls = CLASSES + 1 if n == window else -(-n // step)
                         crc = zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes())
-                        rows.append((part, ranks[cls], cls, start, n, crc, total, None if n == window else own))
+                        rows.append((part, ranks[cls], cls, start, n, crc, total, own if with_ids or n < window else None))
                         ranks[cls] += 1
                         each.append(i + k)
                 cols = list(zip(*rows, strict=True))
@@ -152,7 +155,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: s
     table gives no rows. Other columns of docs are ignored. At most one window is not full.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = materialise(tokenised(docs, path, end, window), "pieces")
+    pieces = materialise(tokenised(docs, path, end, window, with_ids), "pieces")
 
     # The histogram has CLASSES + 1 rows, whatever the input.
     hist = {r["class"]: (r["n"], r["t"]) for r in pieces.groupBy("class").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()}

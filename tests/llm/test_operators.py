@@ -66,6 +66,17 @@ def test_packing(docs, empty):
     assert not packing.pack(empty, WORD).collect()
 
 
+def test_packing_with_ids_gives_whole_encodings(docs):
+    t = Tokenizer.from_file(WORD)
+    plain = docs.dropDuplicates(["doc_id"])
+    found = defaultdict(list)
+    for r in packing.pack(plain, WORD, window=64, with_ids=True).collect():
+        assert len(r["ids"]) == 2 * r["length"] and zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"]
+        found[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u2").tolist()))
+    for i, x in enumerate(TEXTS):
+        assert sum((own for _, own in sorted(found[i])), []) == [*t.encode(x or "", add_special_tokens=False).ids, 2]
+
+
 def test_nnls():
     rng = np.random.default_rng(0)
     a, x = rng.random((6, 9)), np.array([0, 2.0, 0, 0, 1, 0, 3, 0, 0])
