@@ -30,6 +30,8 @@ class Bpe:
             spec = json.load(f)
         model = spec["model"]
         vocab = model["vocab"]
+        if max(vocab.values(), default=0) >= 1 << 16 or any(x["id"] >= 1 << 16 for x in spec["added_tokens"]):
+            raise ValueError("ids of more than two bytes")
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         chars = _byte_chars()
@@ -41,6 +43,8 @@ class Bpe:
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self._table(left << 20 | right)
+        self.known_parts: dict[int, tuple[int, ...]] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.ranks = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, self.made, strict=True))}
 
     def _table(self, keys: np.ndarray, bits: int = 19) -> None:
@@ -173,18 +177,18 @@ class Bpe:
                 return a[: len(a) - len(left)] + window + b[len(right) :]
             k *= 2
 
-    @lru_cache(maxsize=100_000)  # noqa: B019  one object for each vocabulary
     def parts(self, token: int) -> tuple[int, ...]:
         """The single-byte symbols of a token."""
-        if not hasattr(self, "_parts"):
-            self._parts = {int(m): p for p, (_, m) in self.ranks.items()}
-        if token not in self._parts:
-            return (token,)
-        a, b = self._parts[token]
-        return self.parts(a) + self.parts(b)
+        if token not in self.known_parts:
+            if not self.halves:
+                self.halves = {int(m): p for p, (_, m) in self.ranks.items()}
+            if len(self.known_parts) > 100_000:
+                self.known_parts.clear()
+            self.known_parts[token] = self.parts(self.halves[token][0]) + self.parts(self.halves[token][1]) if token in self.halves else (token,)
+        return self.known_parts[token]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load(path: str) -> Bpe:
     return Bpe(path)
 

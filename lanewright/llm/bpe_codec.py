@@ -9,16 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordCoder, units
-from .token_counts import _parts
+from .common import kept, slices
 
 #: Characters of a leaf; longer texts are halved.
 LEAF = 1 << 14
@@ -38,11 +36,6 @@ class TextCoder(WordCoder):
         return b"".join(ids), " ".join([t for t in texts if t])
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> TextCoder:
-    return TextCoder(path)
-
-
 def halves(text: str, leaf: int) -> list[str]:
     """Leaves of the halving tree; each cut goes to the nearest white space within a quarter of a leaf, if there is any."""
     if len(text) <= leaf:
@@ -89,7 +82,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     With digests: id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 (UTF-8). Without: id,
     ids array<int>, decoded string. Null and empty texts have no ids and decode to the empty text. Repeated rows give
-    repeated rows. Other columns of docs are ignored.
+    repeated rows, an empty table none. Other columns of docs are ignored. Ids must not be null.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -103,26 +96,26 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in coded], pa.list_(pa.int32())), pa.array([w for _, w in coded], pa.string())]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for i, j in _parts(texts):
-                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), *columns(c.encode_all(texts[i:j]))], names)
+        c = kept(TextCoder, path)
+        for b in slices(batches, "text", 1 << 22):
+            yield pa.RecordBatch.from_arrays([b["id"], *columns(c.encode_all(b["text"].to_pylist()))], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             for row, i, text in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 leaves = halves(text, leaf)
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(leaves)), pa.array([i] * len(leaves), b["id"].type), pa.array(range(len(leaves)), pa.int64()), pa.array(leaves, pa.string())], ["row", "id", "k", "leaf"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for b in batches:
+        c = kept(TextCoder, path)
+        for b in slices(batches, "leaf"):
             coded = c.encode_all(b["leaf"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["k"], b["leaf"], pa.array([i for i, _ in coded], pa.binary()), pa.array([w for _, w in coded], pa.string())], ["row", "id", "k", "leaf", "ids", "words"])
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = coder(path)
+    def joined(pdf):  # pandas, one text
+        import pandas as pd
+
+        c = kept(TextCoder, path)
         copies = int((pdf["k"] == 0).sum())
         first = pdf["id"].iloc[0]
         pdf = pdf.drop_duplicates("k").sort_values("k")

@@ -1,15 +1,20 @@
-"""Shared helpers: tables, materialised steps, running totals and hot-key joins."""
+"""Shared helpers: tables, written steps, slices of batches, running totals and hot-key joins."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key that holds more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 400
+#: Bytes of text that a Python task turns into Python objects at once.
+SLICE = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +22,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. In local mode one of our own, if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lanewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+class Steps:
+    """Tables that an operator writes to the shared folder, so that what follows neither recomputes them nor depends on one
+    executor. Those that nothing reads any more are dropped; what the operator's result reads stays until `clear`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/lanewright/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes df and reads it again. A step of the same tag is kept beside it until it is dropped."""
+        path = f"{self.path}/{tag}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.paths.setdefault(tag, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def replace(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes df, which may read the step of the same tag, and then drops that step."""
+        old = self.paths.pop(tag, [])
+        out = self.write(df, tag)
+        self._delete(old)
+        return out
+
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            self._delete(self.paths.pop(tag, []))
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all steps in the shared folder. Results that were not written anywhere else can't be read afterwards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lanewright")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: what follows neither recomputes it nor depends on one executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lanewright/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A single step that stays until `clear`."""
+    return Steps(df.sparkSession, "step").write(df, tag)
+
+
+_KEPT: list[tuple] = []
+
+
+def kept(make, *args):
+    """What make(*args) gives, kept in this process until something else is asked for: a worker that serves one operator after
+    another holds the tables of one of them."""
+    if not _KEPT or _KEPT[0][:2] != (make, args):
+        _KEPT.clear()
+        _KEPT.append((make, args, make(*args)))
+    return _KEPT[0][2]
+
+
+def slices(batches: Iterator[pa.RecordBatch], col: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in slices with about `most` bytes in col. Memory that Arrow holds in reserve is given back."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b[col]), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            size += n + 64
+            if size >= most:
+                yield b.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < b.num_rows or not b.num_rows:
+            yield b.slice(start)
+    pa.default_memory_pool().release_unused()
+
+
+def held(fields: list[str], wanted: str) -> str:
+    """A column name that is not among the fields: wanted, or wanted with underscores before it."""
+    while wanted.lower() in {f.lower() for f in fields}:
+        wanted = "_" + wanted
+    return wanted
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str, block: int = 1 << 15) -> DataFrame:
@@ -51,14 +128,15 @@ def running_total(df: DataFrame, order: str, value: str, out: str, block: int =
     return df.withColumn(out, (F.col("_in") + F.col("_base")).cast("long")).drop("_in", "_base", "_block")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, steps: Steps | None = None) -> DataFrame:
     """Inner join of rows with one row per group, where a group may hold a third of all rows.
 
-    Groups over total / HOT_SHARE rows number fewer than HOT_SHARE, whatever the data; these are broadcast, and their
-    rows never meet in one task. All others go through an ordinary join. Groups are written first, so they are made once.
+    size: rows of each group; total: rows, at least. Groups over total / HOT_SHARE rows number fewer than HOT_SHARE, whatever
+    the data; these are broadcast, and their rows never meet in one task. All others go through an ordinary join. Groups are
+    written first, so they are made once.
     """
     least = max(2, total // HOT_SHARE)
-    groups = materialise(groups, "groups")
+    groups = (steps or Steps(rows.sparkSession, "step")).write(groups, "groups")
     hot = groups.filter(F.col(size) > least)
     cold = groups.filter(F.col(size) <= least)
     if not hot.limit(1).count():
@@ -70,6 +148,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return a.unionByName(b)
 
 
+def least_hot(total: int) -> int:
+    """Keys of more rows than this are hot."""
+    return max(2, total // HOT_SHARE)
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, total: int, by: str) -> DataFrame:
+    """Inner join of rows with side (one row for most keys) on key, by shuffles only.
+
+    hot: key and c, for the keys of more than least_hot(total) rows, so fewer than HOT_SHARE. The rows of such a key are dealt
+    to several tasks by the column `by`, and its rows of side are repeated for each of these.
+    """
+    if not hot.limit(1).count():
+        return rows.join(side, key)
+    cuts = F.broadcast(hot.select(key, F.ceil(F.col("c") / least_hot(total)).cast("int").alias("_cuts")))  # fewer than HOT_SHARE rows
+    one = F.lit(1)
+    left = rows.join(cuts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_cuts", one)).cast("int")).drop("_cuts")
+    right = side.join(cuts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", one) - 1))).drop("_cuts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 #: Up to so many keys are broadcast to drop their rows; more go through an ordinary join.
 BROADCAST_KEYS = 1_000_000
 

@@ -12,32 +12,57 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
+from .common import Steps, join_groups
 
 #: Up to so many ids of rows with shared hashes are broadcast to pick their texts; more go through an ordinary join.
 BROADCAST_IDS = 1_000_000
 SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def _class(chars: list[str]) -> str:
+    """A regular expression class of characters in ascending order."""
+    out, k = [], 0
+    while k < len(chars):
+        end = k
+        while end + 1 < len(chars) and ord(chars[end + 1]) == ord(chars[end]) + 1:
+            end += 1
+        out.append(f"\\x{{{ord(chars[k]):X}}}" + (f"-\\x{{{ord(chars[end]):X}}}" if end > k else ""))
+        k = end + 1
+    return "[" + "".join(out) + "]"
+
+
+class Tables:
+    """What canonical composition and case folding do, from the Unicode tables at hand. Hangul has rules of its own."""
+
+    def __init__(self):
+        chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4]
+        nfd, nfc = (lambda c: unicodedata.normalize("NFD", c)), (lambda c: unicodedata.normalize("NFC", c))
+        self.marks = [c for c in chars if unicodedata.combining(c)]
+        self.apart = [(c, nfd(c)) for c in chars if nfd(c) != c]
+        pairs = []
+        for c, whole in self.apart:
+            if nfc(c) == c:
+                a, b = (chr(int(x, 16)) for x in unicodedata.decomposition(c).split())
+                pairs.append((len(whole), nfc(a) + b, c))
+        pairs = [(ab, c) for _, ab, c in sorted(pairs)]
+        self.pairs = [(ab, c) for ab, c in pairs if unicodedata.combining(ab[-1])]
+        # Pairs whose second character is no mark, and marks that such a pair may take afterwards.
+        self.letters = [(ab, c) for ab, c in pairs if not unicodedata.combining(ab[-1])]
+        made = {c for _, c in self.letters}
+        self.letters += [(ab, c) for ab, c in pairs if ab[0] in made and unicodedata.combining(ab[-1])]
+        seconds = sorted({ab[-1] for ab, _ in pairs})
+        #: Texts with none of these are composed: characters that join the one before, that stand for others, two marks in a row.
+        unstable = sorted({*seconds, *(c for c, _ in self.apart if nfc(c) != c), *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))})
+        self.any_mark = _class(self.marks)
+        self.unstable = f"{_class(unstable)}|{self.any_mark}{{2}}"
+        odd = [c for c in chars if c != "ß" and c.casefold() != (c.lower() if c not in "Σ\u0130" else "")]
+        self.odd = _class(odd)
+        self.folds = [(c, c.casefold()) for c in odd]
+
+
 @lru_cache(maxsize=1)
-def compositions() -> tuple[list[tuple[str, str]], list[tuple[str, str]], str, str]:
-    """What canonical composition does, from the Unicode tables at hand: pairs in the order in which they are to be replaced,
-    single characters that stand for several, and single characters with what stands for them. Hangul has rules of its own."""
-    pairs, several, singles = [], [], []
-    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x110000)]):
-        parts = unicodedata.decomposition(c)
-        if not parts or parts.startswith("<"):
-            continue
-        folded = unicodedata.normalize("NFC", c)
-        if folded == c:
-            first, second = (chr(int(x, 16)) for x in parts.split())
-            pairs.append((len(unicodedata.normalize("NFD", c)), unicodedata.normalize("NFC", first) + second, c))
-        elif len(folded) == 1:
-            singles.append((c, folded))
-        else:
-            several.append((c, folded))
-    pairs.sort()
-    return [(a, b) for _, a, b in pairs], several, "".join(a for a, _ in singles), "".join(b for _, b in singles)
+def tables() -> Tables:
+    return Tables()
 
 
 #: Jamo: leading consonants, vowels, trailing consonants; a syllable of the first two, and what may follow to join it.
@@ -61,18 +86,56 @@ def hangul(text: Column) -> Column:
     return F.when(text.rlike(JOINING), F.array_join(F.transform(F.split(text, f"(?={JOINING})"), joined), "")).otherwise(text)
 
 
+def _map(pairs: list[tuple[str, str]]) -> Column:
+    return F.map_from_arrays(F.split(F.lit(",".join(a for a, _ in pairs)), ","), F.split(F.lit(",".join(b for _, b in pairs)), ","))
+
+
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def cluster_composed(cluster: Column) -> Column:
+    """Canonical composition of a character and the marks that follow it: taken apart, marks in the order of their classes, and
+    put together again one mark after another. A mark of the same or a higher class in between keeps a mark apart."""
+    t = tables()
+    apart, pairs = _map(t.apart), _map(t.pairs)
+    marks, ranks = "".join(t.marks), "".join(chr(unicodedata.combining(c)) for c in t.marks)
+    rank = lambda c: F.when(c.rlike(t.any_mark), F.ascii(F.translate(c, marks, ranks))).otherwise(0)
+    whole = F.array_join(F.transform(_characters(cluster), lambda c: F.coalesce(F.try_element_at(apart, c), c)), "")
+    ordered = F.array_sort(F.transform(_characters(whole), lambda c, i: F.struct(rank(c).alias("rank"), i.alias("i"), c.alias("c"))))
+    state = lambda base, rest, last: F.struct(base.alias("base"), rest.alias("rest"), last.alias("last"))
+
+    def add(s: Column, x: Column) -> Column:
+        made = F.try_element_at(pairs, F.concat(s["base"], x["c"]))
+        joins = made.isNotNull() & (s["last"] < x["rank"])
+        return F.when(joins, state(made, s["rest"], s["last"])).when(x["rank"] == 0, state(F.concat(s["base"], x["c"]), s["rest"], s["last"])).otherwise(state(s["base"], F.concat(s["rest"], x["c"]), x["rank"]))
+
+    return F.aggregate(ordered, state(F.lit(""), F.lit(""), F.lit(0)), add, lambda s: F.concat(s["base"], s["rest"]))
+
+
 def composed(text: Column) -> Column:
-    """Base letters and the marks that follow them become single characters. Texts of Latin letters without marks pass."""
-    pairs, several, old, new = compositions()
-    # Constants: what to replace, then one character; and one character, then what stands for it.
-    table, apart = (F.split(F.lit(",".join(a + b for a, b in x)), ",") for x in (pairs, several))
-    slow = F.aggregate(apart, F.translate(text, old, new), lambda t, p: F.replace(t, F.left(p, F.lit(1)), F.substring(p, 2, 9)))
-    slow = F.aggregate(table, slow, lambda t, p: F.replace(t, F.left(p, F.length(p) - 1), F.right(p, F.lit(1))))
-    return F.when(text.rlike(r"[^\x{00}-\x{02FF}]"), hangul(slow)).otherwise(text)
+    """Canonical composition. Texts in which nothing can change pass."""
+    t = tables()
+    clusters = F.regexp_extract_all(text, F.lit(f"(?s)[^{t.any_mark[1:]}{t.any_mark}*|{t.any_mark}+"), F.lit(0))
+    slow = F.array_join(F.transform(clusters, lambda c: F.when(c.rlike(t.unstable), cluster_composed(c)).otherwise(c)), "")
+    letters = F.split(F.lit(",".join(c + ab for ab, c in t.letters)), ",")
+    slow = F.aggregate(letters, slow, lambda s, p: F.replace(s, F.substring(p, 2, 9), F.left(p, F.lit(1))))
+    return F.when(text.rlike(t.unstable), hangul(slow)).otherwise(text)
+
+
+def case_folded(text: Column) -> Column:
+    """Full case folding: what lower case does not do, by a table, then lower case. (Cherokee thus becomes small letters.)"""
+    t = tables()
+    single = [(a, b) for a, b in t.folds if len(b) == 1]
+    several = F.split(F.lit(",".join(a + b for a, b in t.folds if len(b) > 1)), ",")
+    odd = F.aggregate(several, F.translate(text, "".join(a for a, _ in single), "".join(b for _, b in single)), lambda s, p: F.replace(s, F.left(p, F.lit(1)), F.substring(p, 2, 9)))
+    sharp = lambda c: F.replace(c, F.lit("ß"), F.lit("ss"))
+    return F.lower(sharp(F.when(text.rlike(t.odd), odd).otherwise(text)))
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(composed(text)), SPACE, " "))
+    """Composed, case-folded, runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(case_folded(composed(text)), SPACE, " "))
 
 
 def wide(text: Column) -> Column:
@@ -80,13 +143,13 @@ def wide(text: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(F.lit("second"), text))), 16, "0"))
 
 
-def successors(docs: DataFrame, id_col: str) -> DataFrame:
+def successors(docs: DataFrame, id_col: str, steps: Steps) -> DataFrame:
     """id, n_chars, and the next smaller id with its length, around the end: the largest id precedes the smallest.
 
     Ids are sorted by ranges; only the first and last of each range meet in one task.
     """
     ids = docs.groupBy(id_col).agg(F.max("n_chars").alias("n_chars")).select(F.col(id_col).alias("id"), "n_chars")
-    ids = materialise(ids.repartitionByRange(F.col("id")).withColumn("_range", F.spark_partition_id()), "ranges")
+    ids = steps.write(ids.repartitionByRange(F.col("id")).withColumn("_range", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_range").orderBy("id")
     ids = ids.withColumn("_prev", F.lag(F.struct("id", "n_chars")).over(own))
     ends = ids.groupBy("_range").agg(F.max(F.struct("id", "n_chars")).alias("_last"))
@@ -101,13 +164,18 @@ def named(hash_col: str, suffix_col: str) -> Column:
     return F.concat(F.col(hash_col), F.when(F.col(suffix_col) > 0, F.concat(F.lit("-"), F.col(suffix_col).cast("string"))).otherwise(F.lit("")))
 
 
-def suffixes(compared: DataFrame) -> DataFrame:
-    """(id, row, kind, suffix > 0) for rows (id, row, kind, hash, canon) whose hash belongs to more than one folded text.
+def suffixes(compared: DataFrame, steps: Steps) -> DataFrame | None:
+    """(id, row, kind, suffix > 0) for rows (id, row, kind, hash, canon) whose hash belongs to more than one folded text; None if
+    there are none.
 
-    Each hash is first reduced to its smallest and largest text; that these are equal shows that all are.
+    Each task reduces each hash to its smallest and largest text, and these are reduced again; that they are equal shows that
+    all are. Only where they differ, the rows of a hash are shuffled.
     """
     ends = compared.groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-    differ = compared.join(ends.filter(F.col("least") != F.col("most")).select("hash"), "hash")
+    ends = steps.write(ends.filter(F.col("least") != F.col("most")).select("hash"), "differ")
+    if not ends.limit(1).count():
+        return None
+    differ = compared.join(ends, "hash")
     order = Window.partitionBy("hash").orderBy("canon")
     ranks = differ.select("hash", "canon").distinct().withColumn("suffix", F.row_number().over(order) - 1)
     return differ.join(ranks, ["hash", "canon"]).filter("suffix > 0").select("id", "row", "kind", "suffix").distinct()
@@ -129,13 +197,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives no rows. Other columns are ignored. Ids must not be null.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = successors(texts.select("id", F.length("text").alias("n_chars")), "id")
+    steps = Steps(docs.sparkSession, "fingerprints")
+    order = successors(texts.select("id", F.length("text").alias("n_chars")), "id", steps)
     by_id = texts.repartition("id")
     start = F.col("text").substr(F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int"))
     starts = by_id.join(order.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(start.alias("start"), F.xxhash64("text").alias("row"), F.col("id"), wide(canonical(F.col("text"))).alias("hash")).alias("next"))
     starts = starts.groupBy("id").agg(F.min("next").alias("next"))
     both = by_id.join(starts.hint("merge"), "id").withColumn("edited", edited_text(F.col("text"), F.col("next.start")))
-    found = materialise(
+    found = steps.write(
         both.select(
             "id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), wide(canonical(F.col("text"))).alias("hash"),
             wide(canonical(F.col("edited"))).alias("edited_hash"), F.col("next.hash").alias("next_hash"), F.col("next.id").alias("next_id"), F.col("next.row").alias("next_row")),
@@ -145,19 +214,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hashes = found.select("id", "row", "next_id", "next_row", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("hash")), F.struct(F.lit("e").alias("kind"), F.col("edited_hash").alias("hash")))).alias("h"))
     hashes = hashes.select("id", "row", "next_id", "next_row", "h.kind", "h.hash")
     many = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(join_groups(hashes, many, ["hash"], "n", 2 * found.count()).drop("n"), "shared")
+    shared = steps.write(join_groups(hashes, many, ["hash"], "n", 2 * found.count(), steps).drop("n"), "shared")
     need = shared.select("id").union(shared.filter("kind = 'e'").select(F.col("next_id").alias("id"))).distinct()
     small = texts.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id").withColumn("row", F.xxhash64("text")).distinct()
-    small = materialise(small, "texts")
+    small = steps.write(small, "texts")
     own = shared.filter("kind = 't'").join(small, ["id", "row"])
     nxt = small.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("text").alias("start"))
     edited = shared.filter("kind = 'e'").join(small, ["id", "row"]).join(nxt, ["next_id", "next_row"]).withColumn("text", edited_text(F.col("text"), F.col("start")))
     compared = own.select("id", "row", "kind", "hash", "text").unionByName(edited.select("id", "row", "kind", "hash", "text"))
-    extra = materialise(suffixes(compared.select("id", "row", "kind", "hash", canonical(F.col("text")).alias("canon"))), "suffixes")
-
-    for kind, keys, name in (("t", ("id", "row"), "s"), ("e", ("id", "row"), "es"), ("t", ("next_id", "next_row"), "ns")):
-        mine = extra.filter(F.col("kind") == kind).select(F.col("id").alias(keys[0]), F.col("row").alias(keys[1]), F.col("suffix").alias(name))
-        found = found.join(mine, list(keys), "left")
+    extra = suffixes(compared.select("id", "row", "kind", "hash", canonical(F.col("text")).alias("canon")), steps)
+    if extra is None:
+        found = found.select("*", *(F.lit(0).alias(c) for c in ("s", "es", "ns")))
+    else:
+        extra = steps.write(extra, "suffixes")
+        for kind, keys, name in (("t", ("id", "row"), "s"), ("e", ("id", "row"), "es"), ("t", ("next_id", "next_row"), "ns")):
+            mine = extra.filter(F.col("kind") == kind).select(F.col("id").alias(keys[0]), F.col("row").alias(keys[1]), F.col("suffix").alias(name))
+            found = found.join(mine, list(keys), "left")
+    steps.drop("ranges", "shared", "texts", "groups", "differ")
     fp, ep, np_ = named("hash", "s"), named("edited_hash", "es"), named("next_hash", "ns")
     same = lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
     return found.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fp.alias("fingerprint"), ep.alias("edited_fingerprint"), same(fp, ep).alias("near_edited"), same(fp, np_).alias("near_next"))

@@ -1,12 +1,15 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat blocks of text. Each block is described by its words and link density, those of its neighbours, and
-the kind of region it lies in. A decision tree, grown on the small labelled table below, keeps or drops it.
+A page is cut into flat blocks of text. Each block is described by its words and link density, those of its neighbours, and its
+tag path: the nearest marked element around it, what share of the page's words that element holds, and what the rest of the
+page has. No mark decides by itself. A decision tree, grown on the blocks of a small table of labelled pages, keeps or drops
+each block.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_counts import _parts
+from .common import slices
 
 #: Fixed values of the markup: elements within a line, elements whose content is no text, containers, and regions by element.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -29,51 +32,130 @@ MARKS_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|b
 MARKS_INSIDE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|main)(?:$|[\s_-])", re.I)
 #: Words of these attributes that tell of the state of a page, not of what the element is: has-sidebar, comments-open.
 _STATE = re.compile(r"(?<!\S)(?:(?:has|with|without|no)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled|allowed))(?!\S)", re.I)
-#: Elements that stay outside the article whatever they hold. Forms and marked elements may be wrappers of the page.
-FINAL = set("nav footer header aside menu dialog".split())
 FORMS = set("form fieldset".split())
 #: Silent elements whose content ends at their end tag or with the page. Others without an end tag are passed over.
 RAW = set("script style textarea title iframe".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+#: A tag; where its quotes are not in pairs, it ends at the next >.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|[^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-
-#: The labelled table. Columns: words, link density, words and link density of the block before and after, region (-1 outside
-#: the article, 0 unknown, 1 in it), heading (0, 1); label 1: main text.
-UNKNOWN = [
-    [80, 0.0, 5, 0.0, 70, 0.0, 0, 0, 1], [45, 0.1, 60, 0.0, 50, 0.0, 0, 0, 1], [30, 0.0, 40, 0.0, 12, 0.0, 0, 0, 1], [25, 0.0, 90, 0.0, 2, 1.0, 0, 0, 1],
-    [5, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1], [8, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1], [7, 0.0, 3, 1.0, 45, 0.0, 0, 1, 1], [12, 0.0, 80, 0.0, 60, 0.0, 0, 0, 1],
-    [3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0], [2, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0], [6, 0.8, 40, 0.0, 3, 1.0, 0, 0, 0], [20, 0.9, 10, 1.0, 12, 0.8, 0, 0, 0],
-    [4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0], [8, 0.0, 3, 1.0, 4, 0.5, 0, 0, 0], [50, 0.7, 10, 0.8, 6, 1.0, 0, 0, 0], [5, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0],
-    [3, 0.0, 4, 0.0, 2, 1.0, 0, 1, 0], [2, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0],
-]
-#: In the article a block is text whatever surrounds it, and outside it none is.
-KNOWN = [[w, d, *before, *after, r, int(w == 10), int(r == 1)] for r in (-1, 1) for w in (1, 10, 60, 150) for d in (0.0, 1.0) for before in ((0, 0.0), (2, 1.0), (80, 0.0)) for after in ((0, 0.0), (2, 1.0), (80, 0.0))]
-LABELLED = np.array(KNOWN + UNKNOWN, float)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A tree of (feature, limit, below or at, above) and (label,), by the largest drop of the Gini index."""
-    if depth == 0 or y.min() == y.max():
-        return (int(y.mean() >= 0.5),)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+
+#: What an element marks: a region beside the article; a form or an element whose class, id or role says so, which may be a
+#: wrapper of the page as well; nothing; an element whose class, id or role says article; article or main.
+REGION, MARKED_OUT, NOTHING, MARKED_IN, ARTICLE = -2, -1, 0, 1, 2
+FEATURES = "words links words_before links_before words_after links_after heading nearest beyond share inside_share".split()
+#: Pages of the labelled table, and the seed of what they hold.
+PAGES, SEED = 480, 11
+
+
+def labelled_page(rng: random.Random, k: int) -> tuple[str, list[tuple[str, int]]]:
+    """An invented page and its blocks with their labels: 1 is main text. k chooses the layout, rng words and sizes."""
+    labels: list[tuple[str, int]] = []
+    seen: set[str] = set()
+
+    def words(n: int, label: int) -> str:
+        text = ""
+        while not text or text in seen:
+            text = " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+        seen.add(text)
+        labels.append((text, label))
+        return text
+
+    def links(n: int, label: int = 0) -> str:
+        return "<ul>" + "".join(f'<li><a href="/">{words(rng.randrange(1, 5), label)}</a></li>' for _ in range(n)) + "</ul>"
+
+    def paragraphs(n: int, label: int, tag: str = "p") -> str:
+        out = []
+        for _ in range(n):
+            text = words(rng.choice([1, 2, 5, 9, 14, 25, 40, 80, 140]), label)
+            if label and rng.random() < 0.15 and " " in text:  # a few words of a sentence are a link
+                first, _, rest = text.partition(" ")
+                text = f'<a href="/">{first}</a> {rest}'
+            out.append(f"<{tag}>{text}</{tag}>")
+        return "".join(out)
+
+    def outside(kind: int, long: bool = False) -> str:
+        n = rng.randrange(2, 6) if long else rng.randrange(1, 3)
+        body = paragraphs(n, 0) if long or kind % 3 else f"<div>{words(rng.randrange(2, 12), 0)}</div>"
+        made = [
+            lambda: f"<nav>{links(rng.randrange(3, 7))}</nav>", lambda: f'<div class="menu">{links(rng.randrange(3, 7))}</div>', lambda: f'<div class="ad">{words(rng.randrange(3, 14), 0)}</div>', lambda: f"<aside>{body}</aside>",
+            lambda: f'<div class="sidebar">{body}{links(3)}</div>', lambda: f'<div class="cookie-notice">{words(rng.randrange(5, 25), 0)}</div>', lambda: f"<footer>{body}</footer>", lambda: f'<div id="footer">{body}</div>',
+            lambda: f"<form><label>{words(2, 0)}</label><p>{words(rng.randrange(3, 9), 0)}</p></form>", lambda: f'<section class="comments">{body}{paragraphs(n, 0)}</section>', lambda: f'<div class="related-posts">{links(4)}{body}</div>',
+            lambda: f"<header><h1>{words(3, 0)}</h1><p>{words(4, 0)}</p></header>", lambda: f'<div class="newsletter-box">{body}</div>', lambda: f'<div class="article-comments">{paragraphs(n + 1, 0)}</div>',
+            lambda: "<div class='comments'>" + "".join(f'<div class="comment"><div class="content">{paragraphs(1, 0)}</div></div>' for _ in range(n + 1)) + "</div>", lambda: f'<aside><article class="teaser"><h3>{words(3, 0)}</h3>{paragraphs(1, 0)}</article></aside>']
+        return made[kind]()
+
+    # The article: an element, a marked element, or none at all; in wrappers that look like something else, or not.
+    way = k % 5
+    opening, closing = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="content"><article class="post">', "</article></div>"), ("<div>", "</div>")][way]
+    unmarked = way == 4
+    wrap = (k // 5) % 6
+    before, after = [("", ""), ('<div class="layout has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div class="with-banner page">', "</div>"), ('<div class="promo-frame">', "</div>"), ("<div><div>", "</div></div>")][wrap]
+    tiny = k % 7 == 0  # an article of a few words among longer other blocks, or none
+    sides = [rng.randrange(16) for _ in range(rng.randrange(1, 4))]
+    ends = [rng.randrange(16) for _ in range(rng.randrange(1, 4))]
+    page = "<html><body>" + before
+    page += "".join(outside(x) for x in sides if not (unmarked and x in (9, 13, 14)))
+    if k % 4 == 0 or unmarked:  # a few words that nothing marks
+        page += f"<div>{words(rng.randrange(1, 12), 0)}</div>"
+    if k % 8 == 7:
+        return "<html><body>" + "".join(outside(x, True) for x in rng.sample((3, 3, 6, 6, 7, 9), 1 + k % 3 // 2)) + "</body></html>", labels
+    page += opening + (f"<p>{words(rng.randrange(1, 12), 1)}</p>" if tiny else f"<h1>{words(rng.randrange(2, 9), 1)}</h1>")
+    for part in range(0 if tiny else rng.randrange(1, 5)):
+        page += paragraphs(rng.randrange(1, 5), 1)
+        if part and rng.random() < 0.4:
+            page += f"<h2>{words(rng.randrange(1, 6), 1)}</h2>" + paragraphs(1, 1)
+        if rng.random() < 0.2:
+            page += "<ul>" + paragraphs(rng.randrange(2, 5), 1, "li") + "</ul>"
+        if rng.random() < 0.25:
+            page += rng.choice([outside(2), outside(10), outside(12), links(rng.randrange(3, 6))])
+    if k % 3 == 0:
+        page += outside((9, 13, 14)[k // 3 % 3], True)
+    page += closing + (f"<p>{words(rng.randrange(1, 6), 0)}</p>{links(3)}" if unmarked else "") + "".join(outside(x, tiny or x in (9, 14)) for x in ends)
+    return page + after + "</body></html>", labels
+
+
+def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the invented pages."""
+    rng, xs, ys = random.Random(seed), [], []
+    for k in range(pages):
+        page, labels = labelled_page(rng, k)
+        want = dict(labels)
+        bs, x = described(page)
+        xs.append(x)
+        ys += [want[b] for b in bs]
+    return np.concatenate(xs), np.array(ys)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 12) -> tuple:
+    """A tree of (feature, limit, below or at, above) and (label,), by the largest drop of the Gini index. Branches keep `least`
+    rows at least."""
+    n, total = len(y), int(y.sum())
+    if depth == 0 or total in (0, n) or n < 2 * least:
+        return (int(2 * total >= n),)
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for limit in (values[:-1] + values[1:]) / 2:
-            low = x[:, f] <= limit
-            gini = sum(len(p) * p.mean() * (1 - p.mean()) for p in (y[low], y[~low]))
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, limit)
-    if best is None:
-        return (int(y.mean() >= 0.5),)
+        order = np.argsort(x[:, f], kind="stable")
+        v, below = x[order, f], np.cumsum(y[order])
+        cut = np.flatnonzero(v[1:] > v[:-1]) + 1  # rows below the limit
+        cut = cut[(cut >= least) & (cut <= n - least)]
+        if not len(cut):
+            continue
+        a, b = below[cut - 1] / cut, (total - below[cut - 1]) / (n - cut)
+        gini = cut * a * (1 - a) + (n - cut) * b * (1 - b)
+        k = int(gini.argmin())
+        if best is None or gini[k] < best[0] - 1e-9:
+            best = (float(gini[k]), f, float(v[cut[k] - 1] + v[cut[k]]) / 2)
+    if best is None or best[0] >= total * (n - total) / n - 1e-9:
+        return (int(2 * total >= n),)
     _, f, limit = best
     low = x[:, f] <= limit
-    return (f, limit, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (f, limit, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    return grow(LABELLED[:, :-1], LABELLED[:, -1].astype(int))
+    return grow(*labelled())
 
 
 def classify(node: tuple, x: np.ndarray) -> np.ndarray:
@@ -89,24 +171,18 @@ def marks_of(attrs: str) -> str:
     return _STATE.sub(" ", " ".join(next(filter(None, m), "") for m in _ATTR.findall(attrs))) if attrs else ""
 
 
-def region(name: str, attrs: str, above: int, opened: bool = False) -> int:
-    """The region that an element opens within the region above it. What is outside the article stays outside.
-
-    An opened element is a wrapper of the article: that it looks like an outside region does not count.
-    """
-    if above < 0:
-        return above
-    if not opened and (name in OUTSIDE or (name == "header" and above == 0)) or _HIDDEN.search(attrs):
-        return -1
+def kind_of(name: str, attrs: str, in_article: bool) -> int:
+    """What an element marks by itself."""
     marks = marks_of(attrs)
     if name in INSIDE:
-        return -1 if above == 1 and not opened and MARKS_OUTSIDE.search(marks) else 1
-    if name not in ("html", "body") and marks:
-        if not opened and MARKS_OUTSIDE.search(marks):
-            return -1
-        if MARKS_INSIDE.search(marks):
-            return 1
-    return above
+        return MARKED_OUT if in_article and MARKS_OUTSIDE.search(marks) else ARTICLE
+    if name in FORMS:
+        return MARKED_OUT
+    if name in OUTSIDE or (name == "header" and not in_article):
+        return REGION
+    if name in ("html", "body") or not marks:
+        return NOTHING
+    return MARKED_OUT if MARKS_OUTSIDE.search(marks) else MARKED_IN if MARKS_INSIDE.search(marks) else NOTHING
 
 
 def silent_ends(page: str, name: str) -> dict[int, int]:
@@ -191,73 +267,43 @@ def parsed(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[tuple[
     return out, nodes
 
 
-def regions(nodes: list[tuple[str, str, int]], opened: set[int]) -> list[int]:
-    """The region of each container, and at the end that of no container."""
-    out = [0] * (len(nodes) + 1)
-    for i, (name, attrs, above) in enumerate(nodes):
-        out[i] = region(name, attrs, out[above], i in opened)
-    return out
-
-
-def kept(found: list[list[tuple[str, int, int, int, int]]]) -> np.ndarray:
-    """Which blocks of all pages, with their regions, the tree takes for main text."""
-    rows = []
-    for bs in found:
-        padded = [(0, 0.0), *((w, k / w) for _, w, k, _, _ in bs), (0, 0.0)]
-        rows += [[*padded[i + 1], *padded[i], *padded[i + 2], b[3], b[4]] for i, b in enumerate(bs)]
-    return classify(tree(), np.array(rows, float).reshape(len(rows), 8))
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """Flat blocks in page order: text, words, words in links, region, heading.
-
-    A form or marked element that holds most words of the page may be a wrapper of the article, and is opened then: all are
-    where article or main is found in them only, and where nothing is kept otherwise. Forms are, if no such element is beside
-    them and most of the words in marked regions are inside, and within article or main.
-    """
+def described(page: str) -> tuple[list[str], np.ndarray]:
+    """The shown blocks of a page and their features, in the order of FEATURES."""
     bs, nodes = parsed(page)
-    placed = lambda r: [(*b[:3], r[b[3]], b[4]) for b in bs]
+    nearest, beyond, at = [NOTHING] * (len(nodes) + 1), [NOTHING] * (len(nodes) + 1), [-1] * (len(nodes) + 1)
+    own, hidden = [False] * (len(nodes) + 1), [False] * (len(nodes) + 1)
+    for i, (name, attrs, above) in enumerate(nodes):
+        kind = kind_of(name, attrs, own[above])
+        hidden[i] = hidden[above] or bool(_HIDDEN.search(attrs))
+        own[i] = own[above] or kind == ARTICLE
+        nearest[i], beyond[i], at[i] = (kind, nearest[above], i) if kind else (nearest[above], beyond[above], at[above])
+    bs = [b for b in bs if not hidden[b[3]]]
+    # Words that are in no link: of each element, of the page, and of blocks whose nearest mark says article.
     words = [0] * (len(nodes) + 1)
     for b in bs:
-        words[b[3]] += b[1]
+        words[b[3]] += b[1] - b[2]
     for i in range(len(nodes) - 1, -1, -1):
         if nodes[i][2] >= 0:
             words[nodes[i][2]] += words[i]
-    half = sum(b[1] for b in bs) / 2
-    large = [i for i in range(len(nodes)) if words[i] > half and nodes[i][0] not in FINAL]
-
-    def opening(names: set[str] | None, least: int = 0) -> list[int]:
-        opened: set[int] = set()
-        r = regions(nodes, opened)
-        for i in large:
-            if r[i] < 0 and r[nodes[i][2]] >= least and (names is None or nodes[i][0] in names):
-                opened.add(i)
-                r = regions(nodes, opened)
-        return r
-
-    closed = regions(nodes, set())
-    if not any(closed[i] < 0 for i in large):
-        return placed(closed)
-    own = [False] * (len(nodes) + 1)  # inside article or main
-    for i, (name, attrs, above) in enumerate(nodes):
-        own[i] = own[above] or (name in INSIDE and not MARKS_OUTSIDE.search(marks_of(attrs)))
-    inside = lambda r, sure: sum(b[1] for b in bs if r[b[3]] == 1 and (own[b[3]] or not sure))
-    if inside(closed, True):
-        return placed(opening(FORMS, 1))
-    r = opening(None)
-    if inside(r, True):
-        return placed(r)
-    forms, marked = opening(FORMS), inside(closed, False)
-    out = placed(forms if not marked or inside(forms, False) > 2 * marked else closed)
-    return out if kept([out]).any() else placed(r)
-
-
-def main_texts(pages: list[str]) -> list[str]:
-    found = [blocks(p) for p in pages]
-    keep = kept(found).tolist()
+    total = max(1, sum(b[1] - b[2] for b in bs))
+    inside = sum(b[1] - b[2] for b in bs if nearest[b[3]] in (ARTICLE, MARKED_IN)) / total
+    # Where article or main is in nothing that looks like another region, what is not in one is beside it.
+    sure = any(own[i] and nearest[i] == ARTICLE and beyond[i] >= NOTHING for i in range(len(nodes)))
+    padded = [(0, 0.0), *((b[1], b[2] / b[1]) for b in bs), (0, 0.0)]
+    rows = []
+    for i, b in enumerate(bs):
+        n = b[3]
+        share = words[at[n]] / total if at[n] >= 0 else 1.0
+        rows.append([*padded[i + 1], *padded[i], *padded[i + 2], b[4], REGION if sure and not own[n] else min(nearest[n], 1), min(beyond[n], 1), share, inside])
+    return [b[0] for b in bs], np.array(rows, float).reshape(len(rows), len(FEATURES))
+
+
+def main_texts(pages: list[str], node: tuple | None = None) -> list[str]:
+    found = [described(p) for p in pages]
+    keep = classify(node or tree(), np.concatenate([x for _, x in found])).tolist() if found else []
     out, k = [], 0
-    for bs in found:
-        out.append("\n\n".join(b[0] for b, yes in zip(bs, keep[k : k + len(bs)], strict=True) if yes))
+    for bs, _ in found:
+        out.append("\n\n".join(b for b, yes in zip(bs, keep[k : k + len(bs)], strict=True) if yes))
         k += len(bs)
     return out
 
@@ -267,13 +313,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null html counts as empty. Repeated rows give repeated rows, an empty table none. Other columns are ignored.
     """
+    node = tree()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pages_, texts = b["html"].to_pylist(), []
-            for i, j in _parts(pages_):
-                texts += main_texts(pages_[i:j])
+        for b in slices(batches, "html"):
+            texts = main_texts(b["html"].to_pylist(), node)
             yield pa.RecordBatch.from_arrays([b["id"], b["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extracted, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_counts import _parts
+from .common import held, slices
 
 BUCKETS, RUN = 1 << 16, 16
+#: Bytes of text that are turned into trigrams at once.
+PART = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -44,18 +46,21 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log probability of each bucket in each: at most BUCKETS rows a language are gathered."""
+    """Languages in order and the log probability of each bucket in each. Null texts count as empty.
+
+    At most BUCKETS rows a language are gathered, so what the driver and each task hold grows with the number of languages,
+    half a megabyte each, and not with the documents.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, "text", PART):
             texts, langs = [t or "" for t in b["text"].to_pylist()], b["lang"].to_pylist()
-            for i, j in _parts(texts, 1 << 20):
-                h, starts, _ = trigrams(texts[i:j])
-                own = np.repeat(np.arange(j - i), np.diff(np.append(starts, len(h))))
-                for lang in set(langs[i:j]):
-                    mine = np.array([x == lang for x in langs[i:j]])
-                    sums[lang] = sums.get(lang, 0) + np.bincount(h[mine[own]], minlength=BUCKETS)
+            h, starts, _ = trigrams(texts)
+            own = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(h))))
+            for lang in set(langs):
+                mine = np.array([x == lang for x in langs])
+                sums[lang] = sums.get(lang, 0) + np.bincount(h[mine[own]], minlength=BUCKETS)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -113,43 +118,57 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to each row. und, 0 for null texts, texts without letters, and where nothing was learned."""
+def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds pred_col and score_col to each row. und, 0 for null texts, texts without letters, and where nothing was learned.
+
+    Columns of these names that docs has already are replaced. An empty table gives no rows, repeated rows are judged alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    fields = [f.name for f in docs.schema if f.name not in ("lang_pred", "score")]
+    fields = [f.name for f in docs.schema if f.name not in (pred_col, score_col)]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text_col, PART):
             texts = [t or "" for t in b[text_col].to_pylist()]
-            langs, scores = [], []
-            for i, j in _parts(texts, 1 << 20):
-                if not names:
-                    langs, scores = langs + ["und"] * (j - i), scores + [0.0] * (j - i)
-                    continue
-                main, share, count = infer(texts[i:j], shared.value)
-                langs += [names[m] if c else "und" for m, c in zip(main, count, strict=True)]
-                scores += np.where(count > 0, np.clip(share, 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*(b[f] for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
+            if names and texts:
+                main, share, count = infer(texts, shared.value)
+                langs = [names[m] if c else "und" for m, c in zip(main, count, strict=True)]
+                scores = np.where(count > 0, np.clip(share, 0, 1), 0.0)
+            else:
+                langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([*(b[f] for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*fields, pred_col, score_col])
 
     schema = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields)
-    return docs.select(*[F.col(f"`{f}`") for f in fields]).mapInArrow(judged, f"{schema}, lang_pred string, score double")
+    return docs.select(*[F.col(f"`{f}`") for f in fields]).mapInArrow(judged, f"{schema}, `{pred_col}` string, `{score_col}` double")
 
 
 def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text has a letter."""
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, counts = [t or "" for t in b[text_col].to_pylist()], []
-            for i, j in _parts(texts, 1 << 20):
-                counts += trigrams(texts[i:j])[2].tolist()
+        for b in slices(batches, text_col, PART):
+            counts = trigrams([t or "" for t in b[text_col].to_pylist()])[2].tolist()
             yield b.filter(pa.array([n > 0 for n in counts], pa.bool_()))
 
     return docs.mapInArrow(chosen, docs.schema)
 
 
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are not und, with all their columns as they are. Where no language was learned, the rows with a
+    letter: that nothing was learned says nothing about the texts."""
+    names, model = train(docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()), text_col, lang_col)
+    if not names:
+        return lettered(docs, text_col)
+    pred, score = held(docs.columns, "lang_pred"), held(docs.columns, "score")
+    return predict(docs, names, model, text_col, pred, score).filter(F.col(pred) != "und").select(docs.columns)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each row of docs: id, held_out, lang_pred, score. Learns from rows that are not held out and have a lang."""
+    """One row for each row of docs: id, held_out, lang_pred, score. Learns from rows that are not held out and have a lang.
+
+    und, 0 for null and empty texts, texts without a letter of any plane, and for all rows if there is nothing to learn from.
+    Repeated rows give repeated rows, and count as often as they occur when the model learns. An empty table gives no rows.
+    Other columns are ignored. Ids must not be null.
+    """
     names, table = train(docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()), text_col, lang_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return predict(rows, names, table).drop("text")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
+from .common import Steps, join_groups, least_hot, salted_join, slices
 
 #: Each task counts the shingles of all its sets in a summary of this many counters, and hands on at most so many of the
 #: largest; of all tasks, so many are taken for frequent. These only choose an order of the shingles; the result does not
@@ -90,63 +90,55 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
-#: Buckets of the small sketch that goes along with list entries, in the bytes of long integers.
-SMALL = 64
-PACKED = [f"k{i}" for i in range(SMALL // 8)]
+#: Buckets of a sketch: how many shingles of a set fall into each, in one byte each. In columns, eight are in a long integer.
+BUCKETS = 64
+PACKED = [f"k{i}" for i in range(BUCKETS // 8)]
+#: Entries of a list that meet in one task; larger lists are cut into blocks, and each pair of blocks is a task of its own.
+BLOCK = 2048
 
 
 def packed(s: np.ndarray) -> list[int | None]:
-    """Counts of the small sketch, eight in an integer; null if they are larger than a byte."""
-    n = np.bincount(s & (SMALL - 1), minlength=SMALL)
+    """Counts of the sketch, eight in an integer; null if they are larger than a byte."""
+    n = np.bincount(s & (BUCKETS - 1), minlength=BUCKETS)
     return [None] * len(PACKED) if n.max(initial=0) > 255 else n.astype("u1").view("<i8").tolist()
 
 
 def packed_overlap(a: list, b: list):
-    """As most_overlap, for the columns of two small sketches; null if one of them is."""
+    """No two sets with these sketches have more shingles in common; null if one of the sketches is."""
     byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(255)
     return reduce(lambda x, y: x + y, (F.least(byte(x, k), byte(y, k)) for x, y in zip(a, b, strict=True) for k in range(8)))
 
 
-#: Buckets of a sketch: how many shingles of a set fall into each.
-SKETCH = 128
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """Counts in one or two bytes each; empty if they are larger."""
-    n = np.bincount(s & (SKETCH - 1), minlength=SKETCH)
-    most = n.max(initial=0)
-    return b"" if most >= 1 << 16 else n.astype("<u2" if most > 255 else "u1").tobytes()
-
-
-def most_overlap(x: bytes, y: bytes) -> int:
-    """No two sets with these sketches have more shingles in common."""
-    if not x or not y:
-        return 1 << 62
-    x, y = (np.frombuffer(v, "u1" if len(v) == SKETCH else "<u2") for v in (x, y))
-    return int(np.minimum(x, y).sum())
+def links_possible(n, m, a: list, b: list, t: tuple[int, int]):
+    """Whether the sizes n and m and the sketches of two sets leave room for a link."""
+    both = F.least(n, m, F.coalesce(packed_overlap(a, b), F.lit(1 << 40)))
+    return both * (t[0] + t[1]) >= t[0] * (n + m)
 
 
 def _sets(rows: DataFrame, k: int, t: tuple[int, int], frequent: np.ndarray, whole: int) -> DataFrame:
-    """id, n, hash of the set, and its first shingles in the common order: as many as a link must touch; all of small sets."""
+    """id, n, hash of the set, its sketch, and its first shingles in the common order: as many as a link must touch; all of
+    small sets."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    names = ["id", "n", "h1", "h2", "first", *PACKED]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
-            n, h1, h2, first, sketches, small = [], [], [], [], [], []
+        for b in slices(batches, "text"):
+            n, h1, h2, first, ends, small = [], [], [], [EMPTY], [0], []
             for text in b["text"].to_pylist():
                 s = shingles(text, k, words)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
-                sketches.append(sketch(s))
                 small.append(packed(s))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 s = ordered(s, shared.value)
                 first.append(s if len(s) <= whole else s[: len(s) - least_overlap(len(s), t) + 1])
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *(pa.array([x[c] for x in small], pa.int64()) for c in range(len(PACKED)))], ["id", "n", "h1", "h2", "first", "sketch", *PACKED])
+                ends.append(ends[-1] + len(first[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["id"], *(pa.array(x, pa.int64()) for x in (n, h1, h2)), lists, *(pa.array([x[c] for x in small], pa.int64()) for c in range(len(PACKED)))], names)
 
-    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, sketch binary, " + ", ".join(f"{c} long" for c in PACKED))
+    return rows.mapInArrow(made, "id long, n long, h1 long, h2 long, first array<long>, " + ", ".join(f"{c} long" for c in PACKED))
 
 
 class Counters:
@@ -186,7 +178,7 @@ def _frequent(rows: DataFrame, k: int) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counters, seen = Words(), Counters(COUNTERS), set()
-        for b in batches:
+        for b in slices(batches, "text"):
             for text in b["text"].to_pylist():
                 s = shingles(text, k, words)
                 d = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -202,7 +194,7 @@ def _frequent(rows: DataFrame, k: int) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("c"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(np.int64))
 
 
-def _small_links(sets: DataFrame, drop: int, most: int, t: tuple[int, int]) -> DataFrame:
+def _small_links(sets: DataFrame, drop: int, most: int, t: tuple[int, int], steps: Steps) -> DataFrame:
     """Links (a, b) among sets of up to `most` shingles, through subsets with up to `drop` shingles left out.
 
     What a pair has in common is at least the subset; if the sizes allow the link for any pair of a subset, they allow it for
@@ -210,54 +202,58 @@ def _small_links(sets: DataFrame, drop: int, most: int, t: tuple[int, int]) -> D
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, n, s in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["first"].to_pylist(), strict=True):
-                h = _mixed(np.array(s, np.uint64) + np.uint64(0x632BE59BD9B4E019))
-                total = int(h.sum(dtype=np.uint64))
-                h = h.tolist()
-                for d in range(0, min(drop, n - 1) + 1):
-                    out += [(((total - sum(x)) & ((1 << 64) - 1)) - (1 << 63), n - d, i, n) for x in combinations(h, d)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["key", "size", "id", "n"])
-
-    keys = materialise(sets.filter((F.col("n") <= most) & (F.col("n") > 0)).select("id", "n", "first").mapInArrow(made, "key long, size long, id long, n long"), "subsets")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                out = []
+                for i, n, s in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["first"].to_pylist(), strict=True):
+                    h = _mixed(np.array(s, np.uint64) + np.uint64(0x632BE59BD9B4E019))
+                    total = int(h.sum(dtype=np.uint64))
+                    h = h.tolist()
+                    for d in range(0, min(drop, n - 1) + 1):
+                        out += [(((total - sum(x)) & ((1 << 64) - 1)) - (1 << 63), n - d, i, n) for x in combinations(h, d)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["key", "size", "id", "n"])
+
+    keys = steps.write(sets.filter((F.col("n") <= most) & (F.col("n") > 0)).select("id", "n", "first").mapInArrow(made, "key long, size long, id long, n long"), "subsets")
     hubs = keys.groupBy("key", "size").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    pairs = join_groups(keys, hubs, ["key", "size"], "c", keys.count())
+    pairs = join_groups(keys, hubs, ["key", "size"], "c", keys.count(), steps)
     fits = F.lit(t[1]) * F.col("size") >= F.lit(t[0]) * (F.col("n") + F.col("hub.n") - F.col("size"))
-    return pairs.filter(fits & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    links = steps.write(pairs.filter(fits & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")), "links")
+    steps.drop("subsets", "groups")
+    return links
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Those of the distinct pairs (a, b) that the sketches of both sets allow to link."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yes = []
-            for n, m, x, y in zip(*(b[c].to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-                both = min(n, m, most_overlap(x, y))
-                yes.append(t[1] * both >= t[0] * (n + m - both))
-            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(yes, pa.bool_())), b["b"].filter(pa.array(yes, pa.bool_()))], ["a", "b"])
+def _with_side(pairs: DataFrame, total: int, side: DataFrame, key: str) -> DataFrame:
+    """Pairs with the columns of side for their key; one set may be in a third of all pairs."""
+    counts = pairs.groupBy(key).agg(F.count("*").alias("c")).filter(F.col("c") > least_hot(total))
+    return salted_join(pairs, side, key, counts, total, "b" if key == "a" else "a")
 
-    left = sets.select(F.col("id").alias("a"), "n", F.col("sketch").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    joined = pairs.distinct().hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-    return materialise(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(compared, "a long, b long"), "pairs")
 
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tuple[int, int], steps: Steps, sketched: bool) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link. The whole sets are made again from the texts, for documents that need it.
 
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link. The whole sets are made again from the texts, for documents that need it."""
-    pairs = _possible(pairs, sets, t)
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sketched: the sketches of the pairs have been compared already.
+    """
+    pairs = steps.write(pairs.distinct(), "pairs")
+    total = pairs.count()
+    if not sketched:
+        for key in ("a", "b"):
+            side = sets.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), *(F.col(c).alias(f"{c}_{key}") for c in PACKED))
+            pairs = _with_side(pairs, total, side, key)
+        sketches = ([F.col(f"{c}_{key}") for c in PACKED] for key in ("a", "b"))
+        pairs = steps.replace(pairs.filter(links_possible(F.col("n_a"), F.col("n_b"), *sketches, t)).select("a", "b"), "pairs")
+        total = pairs.count()
+    ids = steps.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x, k, words).tobytes() for x in b["text"].to_pylist()], pa.binary())], ["id", "s"])
 
-    sets = materialise(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s binary"), "sets")
+    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s binary"), "whole")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "x"):
             yes = []
             for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
@@ -267,86 +263,150 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tup
                 yes.append(bool(both) and t[1] * both >= t[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(yes, pa.bool_())), b["b"].filter(pa.array(yes, pa.bool_()))], ["a", "b"])
 
-    left, right = (sets.select(F.col("id").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    joined = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-    return materialise(joined.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "links")
+    for key, s in (("a", "x"), ("b", "y")):
+        pairs = _with_side(pairs, total, own.select(F.col("id").alias(key), F.col("s").alias(s)), key)
+    links = steps.write(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "links")
+    steps.drop("pairs", "ids", "whole")
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps) -> DataFrame:
     """id, comp (the smallest id reachable) for all ids in links (a, b): smallest labels of neighbours, then labels of labels,
-    until nothing changes."""
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    until nothing changes. A node may have a third of all links, and a component a third of all nodes."""
+    both = steps.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    total = both.count()
+    labels = steps.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("links")), "labels")
+    least = least_hot(total)
     while True:
-        near = both.hint("merge").join(labels.select(F.col("id").alias("a"), "comp").hint("merge"), "a").groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("near"))
-        step = materialise(labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "step")
+        many = labels.filter(F.col("links") > least).select(F.col("id").alias("a"), F.col("links").alias("c"))
+        near = salted_join(both, labels.select(F.col("id").alias("a"), "comp"), "a", many, total, "b").groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("near"))
+        step = steps.write(labels.join(near, "id").select("id", "links", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "step")
+        steps.drop("labels")
         if not step.filter("comp < old").limit(1).count():
-            return step.select("id", "comp")
+            out = steps.write(step.select("id", "comp"), "components")
+            steps.drop("step", "edges")
+            return out
         up = step.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        labels = materialise(step.hint("merge").join(up.hint("merge"), "comp").select("id", F.least("comp", "up").alias("comp")), "labels")
+        many = step.groupBy("comp").agg(F.count("*").alias("c")).filter(F.col("c") > least)
+        jumped = salted_join(step.drop("old"), up, "comp", many, total, "id")
+        labels = steps.write(jumped.select("id", "links", F.least("comp", "up").alias("comp")), "labels")
+        steps.drop("step")
+
+
+def _open_pairs(entries: DataFrame, total: int, sets: DataFrame, t: tuple[int, int], steps: Steps) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and may link by size, place and sketch.
+
+    A list of more than BLOCK entries is cut by size, as sets that link are in the same size band or neighbours, and bands of
+    more than BLOCK entries are cut into blocks; each pair of blocks is a key of its own.
+    """
+    lists = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("s", "c")
+    own = steps.write(join_groups(entries, lists, ["s"], "c", total, steps).join(sets.select("id", *PACKED), "id"), "open")
+    names = ["id", "n", "i", "comp", *PACKED]
+    other = [F.col(c).alias(f"{c}_b") for c in names]
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        n, m = F.col("n"), F.col("n_b")
+        smaller = (n < m) | ((n == m) & (F.col("id") < F.col("id_b")))
+        sketches = links_possible(n, m, [F.col(c) for c in PACKED], [F.col(f"{c}_b") for c in PACKED], t)
+        pairs = left.hint("merge").join(right.hint("merge"), keys).filter(smaller & (F.col("comp") != F.col("comp_b")) & candidate(n, F.col("i"), m, F.col("i_b"), t) & sketches)
+        return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+
+    short = own.filter(F.col("c") <= BLOCK).select("s", *names)
+    pairs = met(short, short.select("s", *other), ["s"])
+    long = own.filter(F.col("c") > BLOCK)
+    if not long.limit(1).count():
+        return pairs
+    # One row for each band of a list of more than BLOCK entries: at most 1 / BLOCK of all entries and one for each band.
+    cut = steps.write(long.groupBy("s", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cut")), "cuts")
+    cuts = lambda band, name: cut.select("s", F.col("band").alias(band), F.col("cut").alias(name))
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # Each entry as the smaller of a pair (keys: its band and that of the other), and as the larger one.
+    left = long.withColumnRenamed("band", "from").withColumn("to", F.explode(F.array(F.col("from"), F.col("from") + 1)))
+    left = left.join(cuts("from", "p"), ["s", "from"]).join(cuts("to", "q"), ["s", "to"])
+    left = left.withColumn("x", block(F.col("p"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    right = long.withColumnRenamed("band", "to").withColumn("from", F.explode(F.array(F.col("to"), F.col("to") - 1)))
+    right = right.join(cuts("from", "p"), ["s", "from"]).join(cuts("to", "q"), ["s", "to"])
+    right = right.withColumn("y", block(F.col("q"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    keys = ["s", "from", "to", "x", "y"]
+    return pairs.unionByName(met(left.select(*keys, *names), right.select(*keys, *other), keys))
+
+
+def candidate(n, i, m, j, t: tuple[int, int]):
+    """Whether the sizes and the places of a common shingle leave room for a link."""
+    over = F.ceil(F.lit(t[0]) * (n + m) / (t[0] + t[1]))
+    return (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= over) & (F.least(n, m) * t[1] >= F.greatest(n, m) * t[0])
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, t: tuple[int, int] = (90, 100)) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Two documents link when t[1] * intersection >= t[0] * union of their k-word shingle sets. Null and empty texts have no
-    shingles and no links. Rows that repeat an id count as one document with the links of all its texts. An empty table gives
-    no rows. Other columns are ignored. Ids are integers and not null.
+    shingles and no links. Repeated rows give repeated rows. Rows that repeat an id with other texts count as one document
+    with the links of all its texts: all of them get one component. An empty table gives no rows. Other columns are ignored.
+    Ids are integers and not null.
     """
+    steps = Steps(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     options = boundaries(t)
     whole = options[-1][2]
-    all_sets = materialise(_sets(rows, k, t, _frequent(rows, k), whole), "sets")
-    classes = all_sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    sets = materialise(all_sets.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi").select("id", "n", "first", "sketch", *PACKED), "classes")
+    every = steps.write(_sets(rows, k, t, _frequent(rows, k), whole), "every")
+    classes = steps.write(every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "classes")
+    members = steps.write(every.select("id", "n", "h1", "h2"), "members")
+    repeated = bool(members.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count())
+    # One set for each class. An id may stand for several sets: its links are the links of all of them.
+    sets = every.filter("n > 0").join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"], "left_semi")
+    sets = sets.dropDuplicates(["id", "h1", "h2"]) if repeated else sets
+    sets = steps.write(sets.select("id", "n", "first", *PACKED), "sets")
+    steps.drop("every")
+    rows = rows.dropDuplicates(["id", "text"]) if repeated else rows
 
     # Cost of each boundary: subsets of small sets against entries of lists, each of which may have to be looked up again.
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= whole).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `whole` rows
     choose = lambda n, d: sum(len(list(combinations(range(n), x))) for x in range(min(d, n - 1) + 1))
     cost = lambda o: sum(c * choose(n, o[0]) for n, c in sizes.items() if n <= o[2]) + 4 * sum(c * (n - least_overlap(n, t) + 1) for n, c in sizes.items() if n > o[1])
     drop, bound, partner = min(options, key=cost)
-    links = materialise(_small_links(sets, drop, partner, t), "small") if drop else None
+    found = [_small_links(sets, drop, partner, t, steps)] if drop else []
 
-    # Inverted lists of the first shingles of large sets.
-    entries = sets.filter(F.col("n") > bound).select("id", "n", *PACKED, F.posexplode("first").alias("i", "s"))
-    need = lambda n: F.ceil(F.lit(t[0]) * n / t[1])
-    entries = entries.filter(F.col("i") < F.col("n") - need(F.col("n")) + 1) if bound < whole else entries
+    # Inverted lists of the first shingles of large sets, with size bands: sets that link are in the same band or neighbours.
+    entries = sets.filter(F.col("n") > bound).select("id", "n", F.posexplode("first").alias("i", "s"))
+    entries = entries.filter(F.col("i") < F.col("n") - F.ceil(F.lit(t[0]) * F.col("n") / t[1]) + 1) if bound < whole else entries
+    entries = steps.write(entries.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")), "all")
     lists = entries.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = materialise(join_groups(entries, lists, ["s"], "c", sets.count() * 8).drop("c"), "entries")
-
-    def candidate(n, i, m, j):
-        """Whether the sizes and the places of a common shingle leave room for a link."""
-        over = F.ceil(F.lit(t[0]) * (n + m) / (t[0] + t[1]))
-        return (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= over) & (F.least(n, m) * t[1] >= F.greatest(n, m) * t[0])
+    entries = steps.write(join_groups(entries, lists, ["s"], "c", entries.count(), steps).drop("c").withColumn("comp", F.col("id")), "entries")
+    steps.drop("all", "groups")
+    total = entries.count()
 
     # First each set with one set of its lists, of its size band: the smallest id, then the largest of another component.
     # Each round compares at most two sets with each set, so a large group of near copies costs no more than others.
-    entries = materialise(entries.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0])))).withColumn("comp", F.col("id")), "banded")
-    found = [] if links is None else [links]
     for least in (F.min, F.max):
         hubs = entries.groupBy("s", "band").agg(least(F.struct("comp", "id", "n", "i")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-        with_hub = join_groups(entries, hubs, ["s", "band"], "c", sets.count() * 8)
-        with_hub = with_hub.filter((F.col("hub.comp") != F.col("comp")) & candidate(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
+        with_hub = join_groups(entries, hubs, ["s", "band"], "c", total, steps)
+        with_hub = with_hub.filter((F.col("hub.comp") != F.col("comp")) & candidate(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i"), t))
         star = with_hub.groupBy("id").agg(least("hub.id").alias("x"), F.min(F.struct("i", "hub.id"))["id"].alias("y"))
-        pairs = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("h"), "id").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
-        found.append(_verified(pairs, sets, rows, k, t))
-        links = reduce(DataFrame.unionByName, found)
-        comps = components(links)
-        entries = materialise(entries.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "tagged")
+        pairs = steps.write(star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("h"), "id").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")), "stars")
+        steps.drop("groups")
+        found.append(_verified(pairs, sets, rows, k, t, steps, False))
+        steps.drop("stars")
+        comps = components(reduce(DataFrame.unionByName, found), steps)
+        entries = steps.replace(entries.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "entries")
+        steps.drop("components")
 
     # Then all pairs of different components that a list holds.
-    open_lists = entries.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    left = materialise(join_groups(entries, open_lists.select("s", "c"), ["s"], "c", sets.count() * 8).drop("c"), "open")
-    right = left.select("s", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "i", "comp", *PACKED)))
-    both = F.coalesce(packed_overlap([F.col(x) for x in PACKED], [F.col(f"{x}_b") for x in PACKED]), F.lit(1 << 40))
-    room = both * (t[0] + t[1]) >= t[0] * (F.col("n") + F.col("n_b"))
-    across = left.hint("merge").join(right.hint("merge"), "s").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & candidate(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")) & room)
-    more = _verified(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")), sets, rows, k, t)
-    comps = components(links.unionByName(more))
+    found.append(_verified(_open_pairs(entries, total, sets, t, steps), sets, rows, k, t, steps, True))
+    steps.drop("entries", "open", "cuts", "groups")
+    if repeated:  # the classes of an id are linked
+        own = members.filter("n > 0").distinct()
+        several = own.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1")
+        own = own.join(several, "id").join(classes, ["h1", "h2"]).filter("id <> rep")
+        found.append(steps.write(own.select(F.col("rep").alias("a"), F.col("id").alias("b")), "links"))
+    comps = components(reduce(DataFrame.unionByName, found), steps)
+    steps.drop("links", "sets")
 
     groups = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "c", F.coalesce("comp", "rep").alias("component_id"))
-    groups = materialise(groups, "groups")
-    plain = all_sets.select("id", "n", "h1", "h2")
-    linked = join_groups(plain.filter("n > 0"), groups, ["h1", "h2"], "c", all_sets.count())
-    out = linked.select("id", "n", "component_id").unionByName(plain.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    linked = join_groups(members.filter("n > 0"), groups, ["h1", "h2"], "c", members.count(), steps)
+    steps.drop("components", "classes")
+    out = linked.select("id", "n", "component_id").unionByName(members.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    if repeated:
+        least = out.groupBy("id").agg(F.min("component_id").alias("least"), F.count("*").alias("c"))
+        out = join_groups(out, least, ["id"], "c", members.count(), steps).withColumn("component_id", F.col("least"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

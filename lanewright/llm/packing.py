@@ -2,15 +2,15 @@
 
 Pieces (documents, cut at whole windows) are counted in a histogram of length classes. All combinations of up to three
 classes that fill a window are enumerated; non-negative least squares gives how often each is to be used; the counts are
-rounded so that no class is overdrawn. What is left over forms one stream of tokens that is cut to fill exactly the room
-that is left in the windows, and after that windows of its own. So only the last window is padded.
+rounded so that no class is overdrawn. What is left over is packed greedily, the largest class that fits first. The emptiest
+windows are then given up: their pieces are cut to fill exactly the room that is left in all others. So only the last window
+is padded.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordCoder
-from .common import materialise, running_total
-from .token_counts import _parts
+from .common import Steps, kept, running_total, slices
 
 #: Length classes in a window.
 CLASSES = 64
@@ -27,11 +26,6 @@ CLASSES = 64
 BLOCK = 1 << 16
 
 
-@lru_cache(maxsize=1)
-def coder(path: str) -> WordCoder:
-    return WordCoder(path)
-
-
 def shallow(classes: int = CLASSES, depth: int = 3) -> np.ndarray:
     """All combinations of up to `depth` classes with the sum `classes`, as columns of counts for each class 1..classes."""
     found: list[tuple[int, ...]] = []
@@ -82,34 +76,59 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 4000) -> np.ndarray:
     return x
 
 
+def greedy(left: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Patterns (counts of each class) and how often each is used, until no piece is left: each window takes the largest class
+    that still fits, again and again. A pattern is used as often as there are pieces for it."""
+    left, patterns, times = left.astype(np.int64).copy(), [], []
+    while left.any():
+        pattern, rest, room = np.zeros(len(left), np.int64), left.copy(), len(left)
+        while room:
+            fits = np.flatnonzero(rest[:room])
+            if not len(fits):
+                break
+            c = int(fits[-1])
+            n = min(int(rest[c]), room // (c + 1))
+            pattern[c] += n
+            rest[c] -= n
+            room -= n * (c + 1)
+        used = pattern > 0
+        n = int((left[used] // pattern[used]).min())
+        left -= n * pattern
+        patterns.append(pattern)
+        times.append(n)
+    return patterns, times
+
+
 def plan(counts: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(combinations, how often each is used) for a histogram: pieces and tokens of each class.
+    """(patterns, how often each is used) for a histogram: pieces and tokens of each class 1, 2, ...
 
-    The rounded counts never need more pieces than there are. Some pieces stay over, so that their tokens can fill the room.
+    The rounded solution is used as it is; the residuals are packed greedily. Then windows are given up, those with most room
+    first, until their tokens can fill the room of all others. The used counts never need more pieces than there are.
     """
     a = shallow(len(counts))
     scale = np.sqrt(np.maximum(counts, 1))
     use = np.floor(nnls(a / scale[:, None], counts / scale))
     left, times = counts.astype(float).copy(), np.zeros(a.shape[1])
-
-    def draw(order: np.ndarray, most: np.ndarray) -> None:
-        for j in order:
-            need = a[:, j] > 0
-            n = min(most[j], np.floor((left[need] / a[need, j]).min()))
-            if n > 0:
-                times[j] += n
-                left[need] -= n * a[need, j]
-
-    order = np.argsort(-use, kind="stable")
-    draw(order, use)
-    draw(np.argsort(a.sum(0), kind="stable"), np.full(a.shape[1], np.inf))  # what rounding left
+    for j in np.argsort(-use, kind="stable"):
+        need = a[:, j] > 0
+        n = min(use[j], np.floor((left[need] / a[need, j]).min()))
+        if n > 0:
+            times[j] = n
+            left[need] -= n * a[need, j]
+    more, often = greedy(left)
+    patterns = np.concatenate([a, np.array(more, float).T.reshape(len(counts), len(more))], 1)
+    times = np.concatenate([times, often])
     mean = np.divide(tokens, counts, out=np.zeros_like(tokens, dtype=float), where=counts > 0)
-    room = window - mean @ a
-    while (times * room).sum() > 0.98 * (mean * left).sum() and times.any():
-        n = np.ceil(times * 0.02)
-        times -= n
-        left += a @ n
-    return a, times
+    fill = mean @ patterns
+    room = window - fill
+    missing = 1.03 * (times * room).sum() + window  # room of the windows that stay, less what was given up; means are not exact
+    for j in np.argsort(-room, kind="stable"):
+        if missing <= 0:
+            break
+        n = min(times[j], np.ceil(missing / window))
+        times[j] -= n
+        missing -= n * window
+    return patterns, times
 
 
 def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool = False) -> DataFrame:
@@ -123,27 +142,26 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, part = coder(path), TaskContext.get().partitionId()
+        c, part = kept(WordCoder, path), TaskContext.get().partitionId()
         stop, ranks = np.array([end], "<u2").tobytes(), [0] * (CLASSES + 2)
-        for b in batches:
-            texts, ids = b["text"].to_pylist(), b["id"]
-            for i, j in _parts(texts):
-                rows: list[tuple] = []
-                each: list[int] = []
-                for k, coded in enumerate(c.encode_all(texts[i:j])):
-                    coded += stop
-                    total = len(coded) // 2
-                    for start in range(0, total, window):
-                        own = coded[2 * start : 2 * (start + window)]
-                        n = len(own) // 2
-                        cls = CLASSES + 1 if n == window else -(-n // step)
-                        crc = zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes())
-                        rows.append((part, ranks[cls], cls, start, n, crc, total, own if with_ids or n < window else None))
-                        ranks[cls] += 1
-                        each.append(i + k)
+        for b in slices(batches, "text", 1 << 22):
+            rows: list[tuple] = []
+            each: list[int] = []
+            for k, coded in enumerate(c.encode_all(b["text"].to_pylist())):
+                coded += stop
+                total = len(coded) // 2
+                for start in range(0, total, window):
+                    own = coded[2 * start : 2 * (start + window)]
+                    n = len(own) // 2
+                    cls = CLASSES + 1 if n == window else -(-n // step)
+                    crc = zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes())
+                    rows.append((part, ranks[cls], cls, start, n, crc, total, own if with_ids or n < window else None))
+                    ranks[cls] += 1
+                    each.append(k)
+            if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(each)), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["id", "part", "rank", "class", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(each)), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["id", "part", "rank", "class", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.mapInArrow(pieces, f"id {kind}, part int, rank long, class int, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
@@ -154,8 +172,9 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: s
     Null and empty texts are documents of one token, the end id. Repeated rows are packed as often as they occur. An empty
     table gives no rows. Other columns of docs are ignored. At most one window is not full.
     """
+    steps = Steps(docs.sparkSession, "packing")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = materialise(tokenised(docs, path, end, window, with_ids), "pieces")
+    pieces = steps.write(tokenised(docs, path, end, window, with_ids), "pieces")
 
     # The histogram has CLASSES + 1 rows, whatever the input.
     hist = {r["class"]: (r["n"], r["t"]) for r in pieces.groupBy("class").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()}
@@ -193,17 +212,18 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: s
     fitted = fitted.withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
     placed = exact.select(columns).unionByName(fitted.select(columns))
 
-    # The rest as one stream, in the order of parts, and the room as another; overlaps of the two are the last pieces.
+    # The rest as one stream, in the order of parts and classes, and the room as another; overlaps of the two are the last pieces.
     # Both are written once: each is used several times, and without this the plan repeats the joins above for every use.
-    rest = materialise(found.filter(F.col("sequence_id").isNull()).select("id", "start", "length", "doc_tokens", "ids", "part", "class", "rank"), "rest")
-    per_part = rest.groupBy("part").agg(F.sum("length").alias("t"))
-    bases = running_total(per_part.withColumn("part", F.col("part").cast("long")), "part", "t", "base_t").select(F.col("part").cast("int").alias("part"), "base_t")
-    run = Window.partitionBy("part").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("from", F.coalesce(F.sum("length").over(run), F.lit(0))).join(bases, "part").withColumn("from", F.col("from") + F.col("base_t"))
+    slot = F.col("part").cast("long") * (CLASSES + 2) + F.col("class")
+    rest = steps.write(found.filter(F.col("sequence_id").isNull()).select("id", "start", "length", "doc_tokens", "ids", slot.alias("slot"), "rank"), "rest")
+    bases = running_total(rest.groupBy("slot").agg(F.sum("length").alias("t")), "slot", "t", "base_t").select("slot", "base_t")
+    run = Window.partitionBy("slot").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("from", F.coalesce(F.sum("length").over(run), F.lit(0))).join(bases, "slot").withColumn("from", F.col("from") + F.col("base_t"))
     rest = rest.select("id", "start", "length", "doc_tokens", "ids", "from", (F.col("from") + F.col("length")).alias("to"))
 
     room = fitted.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("free", F.lit(window) - F.col("used"))
-    room = materialise(running_total(materialise(room.filter(F.col("free") > 0), "free"), "sequence_id", "free", "room_from"), "room")
+    room = steps.write(running_total(steps.write(room.filter(F.col("free") > 0), "free"), "sequence_id", "free", "room_from"), "room")
+    steps.drop("free")
     totals = room.agg(F.coalesce(F.sum("free"), F.lit(0)).alias("t")).collect()[0]["t"]
     room = room.select("sequence_id", F.col("used").alias("at"), "room_from", (F.col("room_from") + F.col("free")).alias("room_to"))
     # Beyond the room of the combinations, windows of their own: positions map to them by arithmetic.

@@ -37,8 +37,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Builds an index of its own, so that earlier runs do not count as earlier batches."""
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}"))
+    """Builds an index of its own, so that earlier runs do not count as earlier batches, and drops it."""
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    out = exact_dedup.dedup(table(spark, sf_dir, "documents"), index)
+    index.drop()
+    return out
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

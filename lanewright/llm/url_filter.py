@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups
+from .common import Steps, join_groups, least_hot, salted_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Longest word that a host label is split into, and buckets of the naive Bayes model (so its size is fixed).
@@ -55,23 +55,29 @@ def viterbi(label: str, words: dict[tuple[int, int], int], total: int) -> list[s
     return out[::-1]
 
 
-def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """host, words: the words of all labels of each distinct host. words: word, n."""
+def segmented(hosts: DataFrame, words: DataFrame, steps: Steps) -> DataFrame:
+    """host, words: the words of all labels of each distinct host. words: word, n. A word may be in the spans of nearly all
+    labels, and a label in nearly all hosts."""
     total = max(2, words.agg(F.sum("n").alias("n")).collect()[0]["n"] or 2)
-    labels = hosts.select(F.explode(F.split("host", r"\.")).alias("label")).filter("label <> ''").distinct()
+    each = steps.write(hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("k", "label")), "labels")
+    labels = steps.write(each.filter("label <> ''").groupBy("label").agg(F.count("*").alias("c")), "distinct")
     spans = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start"))
     spans = spans.select("label", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("start") + 1))).alias("size"))
     spans = spans.withColumn("word", F.col("label").substr(F.col("start"), F.col("size")))
-    known = spans.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
+    counts = steps.write(spans.groupBy("word").agg(F.count("*").alias("c")), "spans")
+    rows = counts.agg(F.sum("c").alias("c")).collect()[0]["c"] or 0
+    known = salted_join(spans, words, "word", counts.filter(F.col("c") > least_hot(rows)), rows, "label")
+    known = known.groupBy("label").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))  # at most LONGEST for each letter
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [{(k["start"] - 1, k["size"]): k["n"] for k in (ks if ks is not None else ())} for ks in b["known"]]
             yield pd.DataFrame({"label": b["label"], "words": [viterbi(x, k, total) for x, k in zip(b["label"], found, strict=True)]})
 
-    split_labels = labels.join(known, "label", "left").mapInPandas(split, "label string, words array<string>")
-    each = hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("k", "label"))
-    return each.join(split_labels, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
+    split_labels = steps.write(labels.join(known, "label", "left").select("label", "known").mapInPandas(split, "label string, words array<string>"), "split")
+    rows = each.count()
+    out = salted_join(each, split_labels, "label", labels.filter(F.col("c") > least_hot(rows)).select("label", "c"), rows, "host")
+    return out.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
 
 
 def word_counts(texts: DataFrame, col: str) -> DataFrame:
@@ -91,15 +97,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(rules, F.col("host"), F.col("path"))
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    words = segmented(hosts, word_counts(pages, text_col))
+    steps = Steps(pages.sparkSession, "urls")
+    hosts = steps.write(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    words = segmented(hosts, steps.write(word_counts(pages, text_col), "words"), steps)
     # Hosts without labels have no words; one host may have a third of all rows.
     hosts = hosts.join(words, "host", "left")
-    joined = join_groups(rows, hosts, ["host"], "n", rows.count())
+    joined = join_groups(rows, hosts, ["host"], "n", rows.count(), steps)
     tokens = F.concat(
         F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)),
         F.transform(F.filter(F.split(F.lower("path"), "[^\\p{L}\\p{N}]+"), lambda w: w != ""), lambda w: F.concat(F.lit("p:"), F.regexp_replace(w, "[0-9]+", "0"))))
     joined = joined.withColumn("buckets", F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+    joined = steps.write(joined.select("id", "host", "path", "rule", "ruled", "buckets"), "joined")
+    steps.drop("hosts", "words", "labels", "distinct", "spans", "split", "groups")
     learn = joined.filter(F.col("ruled").isNotNull())
     counts, docs = np.zeros((2, BUCKETS)), np.zeros(2)
     which = {"allow": 0, "block": 1}

@@ -10,7 +10,9 @@ import public_tokenizers as tokenizer_files
 import pytest
 from tokenizers import Tokenizer
 
-from lanewright.llm import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, toxicity, url_filter
+from lanewright.llm import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, toxicity, transducer, url_filter
+from lanewright.llm.bpe import byte_pattern, load
+from lanewright.llm.common import Steps
 
 WORD, BYTE = (tokenizer_files.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 LONG = " ".join(random.Random(1).choice(["alpha", "Beta,", "don't", "x1y2", "été", "  ", "\n"]) for _ in range(9000))
@@ -36,6 +38,33 @@ def test_token_counts(docs, empty):
     assert not token_counts.token_counts(empty, BYTE).collect()
 
 
+def test_the_transducer_counts_as_the_library_does():
+    library, machine = Tokenizer.from_file(BYTE), transducer.Transducer(load(BYTE), most=3000)
+    rng = random.Random(6)
+    signs = [chr(c) for c in [*range(32, 127), *range(0xC0, 0x250), *range(0x4E00, 0x4F00), *range(0x1F600, 0x1F640)]]
+    for _ in range(400):
+        chars = rng.choice([signs, signs[:95], signs[65:91], list("abcde"), list("'\"-= ")])
+        text = "".join(rng.choice(chars) for _ in range(rng.randrange(1, 60)))
+        pieces = [p.encode() for p in byte_pattern().findall(text)]
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        assert machine.counts(pieces).sum() == want == sum(machine.advance(transducer.FIRST, p)[1] for p in pieces)
+
+
+def test_token_counts_of_a_long_text_without_spaces(spark):
+    """No task sees more than a chunk of it: what enters a chunk is found from the characters before it."""
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(400_000)), "".join(rng.choice("ABCabc0123/+") for _ in range(200_000)), "ab" * 60_000, "x" + " " * 50_000 + "y", "-" * 40_000 + "'s" * 20_000]
+    library, t = Tokenizer.from_file(BYTE), token_counts.TextTransducer(BYTE)
+    want = [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r["n_tokens"] for r in sorted(token_counts.token_counts(frame, BYTE).collect())] == want
+    for x, n in list(zip(texts, want, strict=True))[:3]:
+        size, before = token_counts.CHUNK, token_counts.CONTEXT
+        maps = [t.chunk_map(x[max(0, k - before) : k], x[k : k + size]) for k in range(0, len(x), size)]
+        [(enter, leave, total)] = token_counts.compose(maps)
+        assert total + t.count(token_counts._read(leave)[0]) == n and max(map(len, maps)) <= 4
+
+
 def test_codec(docs, empty):
     t = Tokenizer.from_file(WORD)
     want = []
@@ -84,6 +113,21 @@ def test_nnls():
     assert (found >= 0).all() and np.allclose(a @ found, a @ x, atol=1e-6)
 
 
+def test_the_plan_keeps_the_rounded_solution_and_cuts_little():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(4095, rng.gamma(1.2, 700, 6000).astype(int) + 1)
+    cls = -(-lengths // 64)
+    counts = np.bincount(cls, minlength=65)[1:].astype(float)
+    tokens = np.bincount(cls, lengths, minlength=65)[1:]
+    patterns, times = packing.plan(counts, tokens, 4096)
+    assert (patterns @ times <= counts).all() and (np.arange(1, 65) @ patterns <= 64).all()
+    mean = np.divide(tokens, counts, out=np.zeros(64), where=counts > 0)
+    assert mean @ (patterns @ times) >= 0.93 * tokens.sum()  # tokens of pieces that stay whole in a planned window
+    left = np.array([0, 0, 3, 0, 1, 0, 0, 2])
+    found, often = packing.greedy(left)
+    assert (sum(n * p for p, n in zip(found, often, strict=True)) == left).all() and all(np.arange(1, 9) @ p <= 8 for p in found)
+
+
 def test_exact_dedup(spark, docs, empty):
     index = exact_dedup.DigestIndex(spark, "test_digests", buckets=2)
     rows = {(r["doc_id"], r["kept"]): r for r in exact_dedup.dedup(docs, index).collect()}
@@ -95,7 +139,7 @@ def test_exact_dedup(spark, docs, empty):
 
 def test_fingerprints(docs, empty):
     plain = docs.dropDuplicates(["doc_id"])
-    fold = lambda t: " ".join(__import__("unicodedata").normalize("NFC", t).lower().split())
+    fold = lambda t: " ".join(__import__("unicodedata").normalize("NFC", t).casefold().split())
     rows = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(plain).collect()}
     seen = defaultdict(set)
     for i, t in enumerate(TEXTS):
@@ -125,7 +169,29 @@ def test_composition_of_hangul_and_higher_planes(spark):
 
 def test_equal_hashes_of_different_texts_get_suffixes(spark):
     rows = spark.createDataFrame([(1, 1, "t", "h", "a"), (2, 2, "t", "h", "b"), (3, 3, "t", "h", "b"), (4, 4, "t", "g", "c"), (5, 5, "t", "g", "c")], "id long, row long, kind string, hash string, canon string")
-    assert sorted((r["id"], r["suffix"]) for r in fingerprints.suffixes(rows).collect()) == [(2, 1), (3, 1)]
+    assert sorted((r["id"], r["suffix"]) for r in fingerprints.suffixes(rows, Steps(spark, "test")).collect()) == [(2, 1), (3, 1)]
+    assert fingerprints.suffixes(rows.filter("hash = 'g'"), Steps(spark, "test")) is None
+
+
+def test_canonical_form_of_random_unicode(spark):
+    """Composition as in the library; folding too, but for Cherokee, which is folded to its small letters."""
+    import unicodedata
+
+    rng = random.Random(8)
+    t = fingerprints.tables()
+    every = [chr(c) for c in range(0x20, 0x20000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co") and not 0x13A0 <= c < 0x1400 and not 0xAB70 <= c < 0xABC0]
+    special = [c for c, _ in t.apart] + t.marks + [x[0] for x, _ in t.pairs] + [x for ab, _ in t.letters for x in ab]
+    jamo = [chr(c) for c in [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3), *range(0xAC00, 0xAC40)]]
+    texts = []
+    for _ in range(500):
+        chars = rng.choice([every, special, jamo, [*special, *"aeiou"], [*t.marks, *"ae"], list("straßeΟΔΟΣſµİ ")])
+        s = "".join(rng.choice(chars) for _ in range(rng.randrange(1, 14)))
+        texts += [s, unicodedata.normalize("NFD", s)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r["id"]: r for r in rows.select("id", fingerprints.composed(rows["text"]).alias("c"), fingerprints.case_folded(fingerprints.composed(rows["text"])).alias("f")).collect()}
+    for i, x in enumerate(texts):
+        whole = unicodedata.normalize("NFC", x)
+        assert (found[i]["c"], found[i]["f"]) == (whole, whole.casefold()), ascii(x)
 
 
 @pytest.mark.parametrize("t", [(90, 100), (80, 100)])
@@ -178,11 +244,47 @@ def test_near_dups_across_the_size_of_whole_sets(spark, t):
     assert sorted(map(tuple, near_dups.join_components(frame, k=1, t=t).collect())) == want
 
 
-def test_sketches_never_fall_short():
+def test_sketches_never_fall_short(spark):
     rng = np.random.default_rng(1)
+    rows, want = [], []
     for n in (1, 30, 700, 40_000):
         a, b = (np.unique(rng.integers(0, 2 * n, n)) for _ in "ab")
-        assert near_dups.most_overlap(near_dups.sketch(a), near_dups.sketch(b)) >= len(np.intersect1d(a, b))
+        rows.append([*near_dups.packed(a), *near_dups.packed(b)])
+        want.append(len(np.intersect1d(a, b)))
+    names = [f"{c}_{x}" for x in "ab" for c in near_dups.PACKED]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    found = [r["o"] for r in frame.select(near_dups.packed_overlap([frame[n] for n in names[:8]], [frame[n] for n in names[8:]]).alias("o")).collect()]
+    assert all(o is None or o >= w for o, w in zip(found, want, strict=True)) and found[3] is None and found[1] is not None
+
+
+def test_near_dups_of_rows_that_repeat_an_id(spark):
+    a, b, c = ("%s one two three four five six" % x for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, c), (9, None), (10, ""), (7, None), (11, "x " * 50_000)]
+    frame = spark.createDataFrame([(i, x, 1, 2, 3, "r", 4) for i, x in rows], "doc_id long, text string, id int, n int, c int, comp string, s int").repartition(3)
+    found = sorted((r["doc_id"], r["component_id"]) for r in near_dups.join_components(frame).collect())
+    assert found == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (8, 8), (8, 8), (9, 9), (10, 10), (11, 11)]
+
+
+def test_near_dups_in_a_list_of_more_than_one_block(spark, monkeypatch):
+    """Many sets that share their rarest shingles, so that lists are cut by size and into blocks."""
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rng = random.Random(4)
+    sets = []
+    for g in range(40):
+        own = [f"own{g}x{i}" for i in range(40 + g % 7 * 3)]
+        common = [f"c{i}" for i in range(20)]
+        for _ in range(2):
+            sets.append({*common, *own[: len(own) - rng.randrange(3)]})
+    parent = list(range(len(sets)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    monkeypatch.setattr(near_dups, "_frequent", lambda rows, k: near_dups.EMPTY)
+    frame = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dups.join_components(frame, k=1).collect())) == [(i, len(x), find(i)) for i, x in enumerate(sets)]
 
 
 def test_language(spark, empty):
@@ -221,11 +323,55 @@ def test_toxicity(spark):
 
 
 def test_counterfactual_penalty_draws_scores_together():
-    rows = [([0, 1], [0, 2], 1)] * 20 + [([3], None, 0)] * 20
-    change = lambda p: abs(np.subtract(*toxicity.fit(rows, 4, penalty=p)[0][[1, 2]]))
+    y = np.array([1.0] * 20 + [0.0] * 20)
+    texts = np.repeat(np.arange(40), [2] * 20 + [1] * 20), np.array([0, 1] * 20 + [3] * 20)
+    changes = np.repeat(np.arange(20), 2), np.array([1, 2] * 20), np.array([1.0, -1.0] * 20)
+    change = lambda p: abs(np.subtract(*toxicity.fit(y, texts, changes, 4, penalty=p)[0][[1, 2]]))
     assert change(10.0) < 0.2 * change(0.0)
 
 
+def test_neutral_mentions_of_a_group_are_fewer_false_positives_with_the_penalty(spark):
+    """One group is mentioned in most toxic texts and in few others; the toxic words are weak signs."""
+    rng = random.Random(3)
+    plain = "table river green walking paper seven window light stone morning".split()
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        w = rng.choices(plain, k=14) + ([rng.choice("nasty awful".split())] if bad and rng.random() < 0.7 else []) + (["muslims"] if rng.random() < (0.8 if bad else 0.03) else []) + (["christians"] if rng.random() < 0.05 else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    neutral = [(2000 + k, " ".join([*rng.choices(plain, k=13), "muslims"])) for k in range(60)]
+    docs = spark.createDataFrame(rows + neutral, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, hits = {}, {}
+    for p in (0.0, 1.0):
+        found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, marks, penalty=p).collect()}
+        wrong[p] = sum(found[i] >= 0.5 for i, _ in neutral)
+        hits[p] = sum(found[i] >= 0.5 for i, y in labels if y and ("nasty" in rows[i][1] or "awful" in rows[i][1]))
+    assert wrong[0.0] >= 50 and wrong[1.0] <= 6 and hits[1.0] >= 0.9 * hits[0.0]
+
+
+def test_terms_of_the_sample_are_those_that_tell_nothing(spark):
+    rows = [(k % 2, "those people said " + ("bad" if k % 2 else "good") + f" x{k}") for k in range(60)]
+    found = toxicity.neutral_terms(spark.createDataFrame(rows, "y long, text string"), 30.0, 30.0)
+    assert found == [["people", "said"]]
+    assert toxicity.swaps([["a", "b", "c"], ["c", "d"]]) == {"a": "b", "b": "c", "c": "a", "d": "c"}
+
+
+def test_toxicity_of_odd_tables(spark, docs, empty):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == len(TEXTS) + 1 and len({r["score"] for r in found if r["doc_id"] == 3}) == 1
+    assert not toxicity.toxicity(empty, labels).collect()
+
+
+def test_language_of_odd_tables(spark, docs, empty):
+    frame = docs.selectExpr("*", "if(doc_id > 8, 'en', null) as lang", "1 as score", "2 as lang_pred", "3 as bucket")
+    found = language_id.identify(frame).collect()
+    assert len(found) == len(TEXTS) + 1 and {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {0, 1, 2}
+    assert len({(r["lang_pred"], r["score"]) for r in found if r["doc_id"] == 3}) == 1
+
+
 def test_urls(spark):
     rules = [("org/", "allow"), ("example.org/es/", "block"), ("com/de/", "block")]
     urls = ["http://A.Example.org/es/1?x#y", "https://example.org/en", "http://x.com/de/", "http://x.com", "no scheme", None, "http://xorg/", "ftp://u.net?q=http://a.org/"] + ["http://x.com/de/"] * 3
@@ -242,6 +388,75 @@ def test_viterbi():
     assert url_filter.viterbi("bluesky", words, 200) == ["blue", "sky"] and url_filter.viterbi("", {}, 10) == []
 
 
+def test_verdicts_beyond_the_rules_are_those_of_plain_viterbi_and_naive_bayes(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(2)
+    words = "blue sky news river shop green stone paper light seven".split()
+    names = ["".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(40)] + ["a" * 20, "xq7"]
+    urls = [f"http://{rng.choice(['www.', ''])}{rng.choice(names)}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['de', 'fr', 'en', 'x'])}/{rng.choice(words)}-{rng.randrange(99)}" for _ in range(400)]
+    urls += [None, "http:///", "http://" + "y" * 5000 + ".net/" + "z/" * 3000, *urls[:3]]
+    html = [" ".join(rng.choices(words, k=30)) for _ in urls]
+    pages = spark.createDataFrame([(i, u, h, "w", 1) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string, word string, n long").repartition(3)
+    rules = [("com/de/", "block"), ("com/fr/", "allow"), ("org/", "allow")]
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
+    count = Counter(w for h in html for w in re.split("[^a-z]+", h.lower()) if w)
+    total = sum(count.values())
+
+    def split(label):  # all splits, the likeliest by the same unigram model
+        best = [(0.0, [])]
+        for end in range(1, len(label) + 1):
+            options = []
+            for start in range(max(0, end - url_filter.LONGEST), end):
+                w = label[start:end]
+                cost = math.log(total) - (math.log(count[w]) if count[w] else math.log(10) - len(w) * math.log(10))
+                options.append((best[start][0] + cost, start, best[start][1] + [w]))
+            cost, _, ws = min(options, key=lambda o: o[:2])
+            best.append((cost, ws))
+        return best[-1][1]
+
+    bags, ruled = {}, {}
+    for i, u in enumerate(urls):
+        host, path = got[i]["host"], got[i]["path"]
+        bag = ["h:" + w for label in host.split(".") if label for w in split(label)]
+        bags[i] = bag + ["p:" + re.sub("[0-9]+", "0", w) for w in re.split(r"[\W_]+", path.lower()) if w]
+        ruled[i] = next((v for t, v in sorted(rules, key=lambda r: -len(r[0])) if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.partition("/")[2])), None)
+    seen = {v: Counter(w for i in bags if ruled[i] == v for w in bags[i]) for v in ("allow", "block")}
+    size = {v: sum(c.values()) for v, c in seen.items()}
+    n = Counter(ruled.values())
+    for i in bags:
+        odds = math.log(n["block"] / n["allow"])
+        for w in bags[i]:
+            if seen["allow"][w] + seen["block"][w]:
+                odds += math.log((seen["block"][w] + 1) / (size["block"] + url_filter.BUCKETS)) - math.log((seen["allow"][w] + 1) / (size["allow"] + url_filter.BUCKETS))
+        assert abs(odds - got[i]["block_score"]) < 1e-6, (i, (urls[i] or "")[:80], bags[i][:20], odds, got[i]["block_score"])
+        assert got[i]["verdict"] == (ruled[i] or ("block" if odds > 0 else "allow"))
+    assert len({r["verdict"] for i, r in got.items() if not ruled[i]}) == 2
+
+
+def test_blocks_of_pages_that_the_tree_has_not_seen():
+    x, y = html_text.labelled(200, seed=77)
+    found = html_text.classify(html_text.tree(), x)
+    assert (found == y).mean() >= 0.97
+    used = set()
+    walk = lambda n: len(n) > 1 and (used.add(html_text.FEATURES[n[0]]), walk(n[2]), walk(n[3]))
+    walk(html_text.tree())
+    assert {"words", "links"} <= used and used & {"words_before", "words_after", "links_before", "links_after"}
+    # Blocks that differ in nothing but words and links are told apart.
+    text, menu = "plain words of a long text " * 12, "".join(f"<p><a href=x>link {k}</a></p>" for k in range(6))
+    assert html_text.main_texts([f"<body>{menu}<p>{text}</p><p>{text}</p>{menu}</body>"]) == [f"{text.strip()}\n\n{text.strip()}"]
+    assert html_text.main_texts(['<article><p class="x>one two</p><p>three</p></article>']) == ["one two\n\nthree"]
+
+
+def test_html_of_odd_tables(spark):
+    rows = [(1, "u", "<article><p>a</p></article>", "t", 2)] * 2 + [(2, "u", "<p>" * 3000, "t", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    assert sorted(map(tuple, html_text.extract(pages).collect())) == [(1, "u", "a", 1)] * 2 + [(2, "u", "", 0)]
+    assert not html_text.extract(pages.filter("page_id < 0")).collect()
+
+
 def test_html(spark):
     page = "<title>no</title><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four</article><script>if(a<b)</script><footer>foot</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<article><p>cut &lt; of"), (5, "u", "<article>" + "<p>word word</p>" * 5000)]

@@ -51,12 +51,16 @@ def test_each_stage_takes_its_decisions(spark, folder):
     def step(k, rows):
         out = corpus_pipeline.STAGES[k][1](spark, docs_of(rows), folder)
         assert out.columns == fields
-        return sorted((r["doc_id"], r["text"]) for r in out.collect())
+        found = out.collect()
+        assert all(tuple(r)[2:] == ("en", "s", 1, 0.5, "x", 3) for r in found)  # columns are kept as they are
+        return sorted((r["doc_id"], r["text"]) for r in found)
 
     def docs_of(rows):
         return spark.createDataFrame([(i, x, "en", "s", 1, 0.5, "x", 3) for i, x in rows], SCHEMA).repartition(4)
 
-    before, kept = kept, sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, docs, folder).collect())
+    first_kept = corpus_pipeline.language(spark, docs, folder).collect()
+    assert all(r["score"] == 0.5 and r["lang_pred"] == "x" for r in first_kept)
+    before, kept = kept, sorted((r["doc_id"], r["text"]) for r in first_kept)
     assert kept == [x for x in before if x[1] and any(c.isalpha() for c in x[1])]
 
     before, kept = kept, step(1, kept)
