@@ -47,3 +47,59 @@ def first_difference(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     at = F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.when(~x["a"].eqNullSafe(x["b"]), i)), lambda x: x.isNotNull())
     return F.least(n, F.coalesce(F.element_at(F.when(F.size(at) > 0, at), 1), n))
+
+
+def unzigzag(n: Column) -> Column:
+    return F.shiftrightunsigned(n, 1).bitwiseXOR(-n.bitwiseAND(1))
+
+
+def unleb16(digits: Column) -> Column:
+    """The number of an array of base-16 digits, the least first."""
+    return F.aggregate(F.reverse(digits), F.lit(0).cast("long"), lambda a, d: a * 16 + d.cast("long").bitwiseAND(15))
+
+
+def pitch_hz(fn: Column) -> Column:
+    return fn * F.lit(CLOCK_HZ / ACCUMULATOR)
+
+
+def grid_pitch(grid: Column) -> Column:
+    """The nearest accumulator step of a semitone from the reference pitch, halves to even; the inverse of pitch_grid."""
+    return F.rint(F.lit(A4_HZ * ACCUMULATOR / CLOCK_HZ) * F.pow(F.lit(2.0), grid / F.lit(12.0))).cast("long")
+
+
+#: Atoms of the flat alphabet. Rests, key off, key on, raw bytes from 20 on; semitones -80 to 79 from 64 on; bytes.
+REST, KEY_OFF, KEY_ON, RAW, NOTE_ZERO, BYTE_ZERO, ATOMS = 17, 18, 19, 20, 144, 320, 576
+
+
+def byte_atom(v: Column) -> Column:
+    """The atom of a byte; an error for other numbers."""
+    return F.when(v.between(0, 255), v + BYTE_ZERO).otherwise(F.raise_error(F.lit("not a byte")).cast("long"))
+
+
+def word_atoms(v: Column) -> Column:
+    """Two atoms, the low byte first."""
+    return F.array(byte_atom(v.bitwiseAND(255)), byte_atom(F.shiftright(v, 8)))
+
+
+def note_atom(fn: Column) -> Column:
+    """The atom of a pitch: rest for 0, the semitone if the pitch is exactly its step, else null (it needs its raw bytes)."""
+    grid = pitch_grid(fn)
+    return F.when(fn == 0, REST).when((grid_pitch(grid) == fn) & grid.between(-80, 79), grid + NOTE_ZERO).cast("long")
+
+
+def byte_share(atoms: Column) -> Column:
+    """The share of an array's atoms that are bytes."""
+    n = F.size(F.filter(atoms, lambda a: (a >= BYTE_ZERO) & (a < ATOMS)))
+    return F.when(F.size(atoms) > 0, n / F.size(atoms)).otherwise(F.lit(0.0))
+
+
+def feeds(mask: Column, reg: Column) -> Column:
+    """Whether the bit of a register is set."""
+    return F.call_function("shiftright", mask, reg.cast("int")).bitwiseAND(1) == 1
+
+
+def falls_by_one(v: Column, least: int = 3, frames: int = 8) -> Column:
+    """Whether the high byte falls by one against two frames before, in at least so many of the first frames of an array."""
+    high = F.transform(F.slice(v, 1, frames), lambda x: F.shiftright(x, 8).bitwiseAND(255))
+    steps = F.transform(high, lambda x, i: F.when(i >= 2, F.get(high, i - 2) - x))
+    return F.size(F.filter(steps, lambda d: d == 1)) >= least

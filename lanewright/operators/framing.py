@@ -10,16 +10,29 @@ REGISTERS = 25
 FRAME, GAP = 3_600_000_000, 1_800_000_000
 
 
-def binned(log: DataFrame, frame: int = FRAME) -> DataFrame:
-    """The last write of each (tune, frame, register); frames are counted from the first write, halves rounded to even."""
-    t0 = log.groupBy("tune_id").agg(F.min("clock").alias("t0"))
+def binned(log: DataFrame, frame: int = FRAME, starts: DataFrame | None = None, preroll: str = "carry") -> DataFrame:
+    """The last write of each (tune, frame, register); frames are counted from the first write, halves rounded to even.
+
+    starts: tune_id, t0, where frames are to be counted from another time. Writes before frame 0 then are carried into it, or
+    dropped (preroll: carry or drop).
+    """
+    t0 = log.groupBy("tune_id").agg(F.min("clock").alias("t0")) if starts is None else starts
+    if starts is not None:
+        at = F.rint((F.col("clock") - F.col("t0")) / frame).cast("int")
+        rows = log.join(t0, "tune_id").withColumn("frame", at)
+        rows = rows.filter("frame >= 0") if preroll == "drop" else rows.withColumn("frame", F.greatest("frame", F.lit(0)))
+        return rows.groupBy("tune_id", "frame", "reg").agg(F.max_by("val", F.struct("clock", "seq")).alias("val"))
     at = F.rint((F.col("clock") - F.col("t0")) / frame).cast("int")
     return log.join(t0, "tune_id").groupBy("tune_id", at.alias("frame"), "reg").agg(F.max_by("val", F.struct("clock", "seq")).alias("val"))
 
 
-def framed_state(log: DataFrame, frame: int = FRAME) -> DataFrame:
+def framed_state(log: DataFrame, frame: int = FRAME, starts: DataFrame | None = None, preroll: str = "carry") -> DataFrame:
     """tune_id, frame, reg, val for all frames and registers; 0 before the first write."""
-    writes = binned(log, frame)
+    return filled_state(binned(log, frame, starts, preroll))
+
+
+def filled_state(writes: DataFrame) -> DataFrame:
+    """tune_id, frame, reg, val for all frames up to the last and all registers, from the last writes of frames."""
     frames = writes.groupBy("tune_id").agg(F.max("frame").alias("last"))
     grid = frames.select("tune_id", F.explode(F.sequence(F.lit(0), "last")).alias("frame")).select("tune_id", "frame", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS - 1))).alias("reg"))
     filled = F.last("val", True).over(Window.partitionBy("tune_id", "reg").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
@@ -61,13 +74,14 @@ def play_period(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame
 
 
 def first_play(log: DataFrame, frame: int = FRAME, gap: int = GAP, slack: int = FRAME // 2) -> DataFrame:
-    """tune_id, first: the first burst that three intervals near the frame follow, else the first burst."""
+    """tune_id, first: the first burst that three intervals follow which differ from the frame by less than the slack, else the
+    first burst."""
     w = Window.partitionBy("tune_id").orderBy("ord")
     starts = burst_starts(log, gap)
     near = F.lit(True)
     for k in (1, 2, 3):
         step = F.lead("start", k).over(w) - (F.lead("start", k - 1).over(w) if k > 1 else F.col("start"))
-        near = near & (F.abs(step - frame) <= slack)
+        near = near & (F.abs(step - frame) < slack)
     starts = starts.withColumn("near", near)
     return starts.groupBy("tune_id").agg(F.coalesce(F.min(F.when(F.col("near"), F.col("start"))), F.min("start")).alias("first"))
 
@@ -89,3 +103,42 @@ def best_lag(state: DataFrame, a: int, b: int, span: int = 12, least: int = 20)
     y = y.select("tune_id", "y", F.col("f"), F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("lag")).withColumn("frame", F.col("f") - F.col("lag"))
     per = x.join(y, ["tune_id", "frame"]).groupBy("tune_id", "lag").agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("same"))
     return per.filter(F.col("n") > least).groupBy("tune_id").agg(F.max_by("lag", F.struct("same", -F.col("lag"))).alias("lag"), F.max("same").alias("same"))
+
+
+def policies(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame:
+    """tune_id, bursts, span, policy: how to frame a tune. static: all writes are in one frame; cadence: fewer than two bursts, or
+    fewer than nine tenths of the frames that they span; gap: each burst is a frame."""
+    rows = log.withColumn("_d", F.col("clock") - F.lag("clock").over(Window.partitionBy("tune_id").orderBy("clock", "seq")))
+    stats = rows.groupBy("tune_id").agg(F.sum(F.when(F.col("_d").isNull() | (F.col("_d") > gap), 1).otherwise(0)).alias("bursts"), (F.rint((F.max("clock") - F.min("clock")) / frame) + 1).cast("long").alias("span"))
+    policy = F.when(F.col("span") < 2, "static").when((F.col("bursts") < 2) | (F.col("bursts") < 0.9 * F.col("span")), "cadence").otherwise("gap")
+    return stats.select("tune_id", "bursts", "span", policy.alias("policy"))
+
+
+def burst_frames(log: DataFrame, gap: int = GAP) -> DataFrame:
+    """The last write of each (tune, burst, register), with the burst's place as the frame."""
+    w = Window.partitionBy("tune_id").orderBy("clock", "seq")
+    own = log.withColumn("_d", F.col("clock") - F.lag("clock").over(w)).withColumn("_new", F.when(F.col("_d") > gap, 1).otherwise(0))
+    own = own.withColumn("frame", F.sum("_new").over(w).cast("int"))
+    return own.groupBy("tune_id", "frame", "reg").agg(F.max_by("val", F.struct("clock", "seq")).alias("val"))
+
+
+def state_by_policy(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame:
+    """tune_id, frame, reg, val, framed as the policy of each tune says. Static tunes hold their last values in their one frame."""
+    chosen = policies(log, frame, gap).select("tune_id", "policy")
+    rows = log.join(chosen, "tune_id")
+    bursts = burst_frames(rows.filter("policy = 'gap'").drop("policy"), gap)
+    return filled_state(bursts.unionByName(binned(rows.filter("policy <> 'gap'").drop("policy"), frame)))
+
+
+def held_state(log: DataFrame, ends: DataFrame, frame: int = FRAME) -> DataFrame:
+    """tune_id, frame, reg, val: the last value of each register (0 if none) over all frames up to an end time (tune_id, end)."""
+    last = log.groupBy("tune_id", "reg").agg(F.max_by("val", F.struct("clock", "seq")).alias("val"))
+    t0 = log.groupBy("tune_id").agg(F.min("clock").alias("t0")).join(ends, "tune_id")
+    frames = t0.select("tune_id", F.explode(F.sequence(F.lit(0), F.rint((F.col("end") - F.col("t0")) / frame).cast("int"))).alias("frame"))
+    grid = frames.withColumn("reg", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS - 1))))
+    return grid.join(last, ["tune_id", "reg"], "left").select("tune_id", "frame", "reg", F.coalesce("val", F.lit(0)).alias("val"))
+
+
+def state_digests(state: DataFrame) -> DataFrame:
+    """tune_id, frame, h: one number for all registers of a frame."""
+    return state.groupBy("tune_id", "frame").agg(F.sum((F.col("val") + 1) * (F.col("reg") + 1) * (F.col("reg") + 3)).cast("long").alias("h"))

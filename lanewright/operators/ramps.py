@@ -35,7 +35,7 @@ def ramp_segments(lane: DataFrame, modulus: int = MODULUS) -> DataFrame:
 
 def ramp_render(ramps: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """tune_id, lane, frame, v of ramps."""
-    rows = ramps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    rows = ramps.filter("length > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
     return rows.select("tune_id", "lane", (F.col("start") + F.col("i")).cast("int").alias("frame"), F.pmod(F.col("seed") + F.col("i") * F.col("step"), F.lit(modulus)).alias("v"))
 
 

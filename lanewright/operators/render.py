@@ -22,8 +22,9 @@ def forms(i: Column, v0: Column, rate: Column, every: Column, table: Column, wid
 
 
 def render(segments: DataFrame, kinds: list[str]) -> DataFrame:
-    """seg_id, kind, i, v for segments (seg_id, dur, v0, rate, every, table); an unknown kind is an error."""
-    rows = segments.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)))
+    """seg_id, kind, i, v for segments (seg_id, dur, v0, rate, every, table); an unknown kind is an error. Segments of no frames give
+    no rows."""
+    rows = segments.filter("dur > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)))
     table = forms(F.col("i"), F.col("v0"), F.col("rate"), F.col("every"), F.col("table"))
     values = F.array(*[F.struct(F.lit(k).alias("kind"), table[k].alias("v")) for k in kinds])
     return rows.select("seg_id", "i", F.explode(values).alias("x")).select("seg_id", "x.kind", "i", "x.v")

@@ -53,8 +53,8 @@ add("changed_frames", lambda x: framing.binned(x).select("tune_id", "frame").dis
 add("burst_starts", framing.burst_starts, BURST, "SELECT * FROM bursts")
 add("play_period", framing.play_period, BURST, """, steps AS (SELECT tune_id, start - lag(start) OVER (PARTITION BY tune_id ORDER BY ord) AS d FROM bursts)
 SELECT tune_id, CASE WHEN count(*) < 4 OR median(d) <= 0 OR median(d) >= 0.9 * 3600000000 THEN 3600000000.0::DOUBLE ELSE median(d)::DOUBLE END AS period FROM steps GROUP BY 1""")
-add("first_play", framing.first_play, BURST, """, nexts AS (SELECT tune_id, start, abs(lead(start) OVER w - start - 3600000000) <= 1800000000 AND abs(lead(start, 2) OVER w - lead(start) OVER w - 3600000000) <= 1800000000
-AND abs(lead(start, 3) OVER w - lead(start, 2) OVER w - 3600000000) <= 1800000000 AS near FROM bursts WINDOW w AS (PARTITION BY tune_id ORDER BY ord))
+add("first_play", framing.first_play, BURST, """, nexts AS (SELECT tune_id, start, abs(lead(start) OVER w - start - 3600000000) < 1800000000 AND abs(lead(start, 2) OVER w - lead(start) OVER w - 3600000000) < 1800000000
+AND abs(lead(start, 3) OVER w - lead(start, 2) OVER w - 3600000000) < 1800000000 AS near FROM bursts WINDOW w AS (PARTITION BY tune_id ORDER BY ord))
 SELECT tune_id, coalesce(min(start) FILTER (near), min(start)) AS first FROM nexts GROUP BY 1""")
 add("framing_loss", framing.framing_loss, BIN, """, a AS (SELECT tune_id, count(*) FILTER (b <> val) AS raw FROM (SELECT *, lag(val) OVER (PARTITION BY tune_id, reg ORDER BY clock, seq) AS b FROM log) GROUP BY 1),
 c AS (SELECT tune_id, count(*) FILTER (b <> val) AS framed FROM (SELECT *, lag(val) OVER (PARTITION BY tune_id, reg ORDER BY frame) AS b FROM binned) GROUP BY 1)
@@ -95,10 +95,10 @@ add("variable_length_codes", lambda x: x.select("seq", F.col("clock").alias("n")
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with parameters from order lines."""
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1")
+    """Segments with parameters from all order lines; an order has fewer than eight."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     q = F.col("l_quantity").cast("long")
-    return x.select(F.col("l_orderkey").alias("seg_id"), (q % 13 + 1).alias("dur"), F.col("l_partkey").alias("v0"), (q - 25).alias("rate"), (q % 3 + 1).alias("every"), F.array(F.col("l_suppkey"), q, F.lit(7).cast("long")).alias("table"))
+    return x.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seg_id"), (q % 13 + 1).alias("dur"), F.col("l_partkey").alias("v0"), (q - 25).alias("rate"), (q % 3 + 1).alias("every"), F.array(F.col("l_suppkey"), q, F.lit(7).cast("long")).alias("table"))
 
 
 KINDS = ["hold", "accum", "dwell", "decay", "vibrato", "tablewalk", "arp", "ratewalk"]
@@ -107,10 +107,10 @@ _form = {
     "hold": "v0", "accum": "v0 + i * rate", "dwell": "v0 + rate * (i // every)", "decay": "v0 - rate * (i // every)", "vibrato": "v0 + rate * CASE WHEN (i & 7) >= 4 THEN xor(i & 7, 7) ELSE i & 7 END",
     "tablewalk": "t[(i % 3 + 1)::INT]", "arp": "t[((i // every) % 3 + 1)::INT]", "ratewalk": "v0 + (i // 3) * list_sum(t) + coalesce(list_sum(t[1:(i % 3)::INT]), 0)",
 }
-SQL["closed_forms"] = """WITH s AS (SELECT l_orderkey AS seg_id, l_quantity::BIGINT AS q, l_partkey AS v0, l_quantity::BIGINT - 25 AS rate, l_quantity::BIGINT % 3 + 1 AS every, [l_suppkey, l_quantity::BIGINT, 7] AS t FROM lineitem WHERE l_linenumber = 1),
+SQL["closed_forms"] = """WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS seg_id, l_quantity::BIGINT AS q, l_partkey AS v0, l_quantity::BIGINT - 25 AS rate, l_quantity::BIGINT % 3 + 1 AS every, [l_suppkey, l_quantity::BIGINT, 7] AS t FROM lineitem),
 r AS (SELECT *, unnest(range(0, q % 13 + 1)) AS i FROM s) """ + " UNION ALL ".join(f"SELECT seg_id, '{k}' AS kind, i, ({e})::BIGINT & 65535 AS v FROM r" for k, e in _form.items())
 Q["rotations"] = lambda spark, sf_dir: _segments(spark, sf_dir).select("seg_id", F.concat_ws(",", scalars.rotation(F.col("table")).cast("array<string>")).alias("least"))
-SQL["rotations"] = "WITH s AS (SELECT l_orderkey AS seg_id, l_suppkey AS a, l_quantity::BIGINT AS b, 7 AS c FROM lineitem WHERE l_linenumber = 1) SELECT seg_id, array_to_string(least([a, b, c], [b, c, a], [c, a, b]), ',') AS least FROM s"
+SQL["rotations"] = "WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS seg_id, l_suppkey AS a, l_quantity::BIGINT AS b, 7 AS c FROM lineitem) SELECT seg_id, array_to_string(least([a, b, c], [b, c, a], [c, a, b]), ',') AS least FROM s"
 
 
 def _first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
