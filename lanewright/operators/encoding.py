@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lanes
+from .blocks import following, running
+from .framing import BLOCK
 
 
 def numbered(first: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -14,9 +16,13 @@ def numbered(first: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def pool(runs: DataFrame) -> DataFrame:
-    """tune_id, ref, length, v: the distinct (length, value) of a tune's runs, in the order of their first use."""
-    first = runs.groupBy("tune_id", "length", "v").agg(F.min(F.struct("lane", "start")).alias("at"))
-    return numbered(first, ["tune_id"], ["at"]).select("tune_id", "ref", "length", "v")
+    """tune_id, ref, length, v: the distinct (length, value) of a tune's runs, in the order of their first use: by lane, then by
+    start. They are numbered in each lane, and after those of the lanes before."""
+    first = runs.groupBy("tune_id", "length", "v").agg(F.min(F.struct("lane", "start")).alias("at")).select("*", F.col("at.lane").alias("lane"))
+    sizes = first.groupBy("tune_id", "lane").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("tune_id").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("tune_id", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each lane
+    return numbered(first, ["tune_id", "lane"], ["at"]).join(sizes, ["tune_id", "lane"]).select("tune_id", (F.col("ref") + F.col("base")).cast("int").alias("ref"), "length", "v")
 
 
 def pool_encode(runs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,8 +67,7 @@ def accumulator_kind(shape: Column) -> Column:
 def next_boundary(frames: DataFrame, boundaries: DataFrame) -> DataFrame:
     """tune_id, frame, next: the next boundary after each frame; null after the last."""
     marked = frames.join(boundaries.withColumn("mark", F.col("frame")), ["tune_id", "frame"], "left")
-    later = Window.partitionBy("tune_id").orderBy("frame").rowsBetween(1, Window.unboundedFollowing)
-    return marked.select("tune_id", "frame", F.min("mark").over(later).alias("next"))
+    return following(marked, ["tune_id"], "frame", F.col("mark"), "next", BLOCK).select("tune_id", "frame", "next")
 
 
 def marked_regions(addresses: DataFrame, keys: list[str], addr: str, mark: Column) -> DataFrame:
@@ -79,8 +84,7 @@ def decode_markers(stream: DataFrame, key: str, pos: str, byte: str, note_below:
     instrument. Settings hold to the end of the pattern; null before the first.
     """
     b = F.col(byte)
-    every = Window.partitionBy(key).orderBy(pos)
-    cut = stream.withColumn("pattern", F.coalesce(F.sum(F.when(b == end, 1).otherwise(0)).over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = running(stream, [key], pos, [], F.when(b == end, 1).otherwise(0).cast("long"), "pattern", 1 << 14, False)
     own = Window.partitionBy(key, "pattern").orderBy(pos)
     length = F.when((b >= note_below) & (b < length_below) & (b != end), b - note_below)
     instrument = F.when((b >= length_below) & (b != end), b - length_below)

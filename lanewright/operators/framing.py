@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import previous, running
+
 REGISTERS = 25
 #: Microseconds of a frame, and of the gap that starts a burst.
 FRAME, GAP = 3_600_000_000, 1_800_000_000
+#: Frames of a block of a tune; a task sees one block.
+BLOCK = 256
 
 
 def binned(log: DataFrame, frame: int = FRAME, starts: DataFrame | None = None, preroll: str = "carry") -> DataFrame:
@@ -60,15 +64,19 @@ def residual(state: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def burst_starts(log: DataFrame, gap: int = GAP) -> DataFrame:
     """tune_id, start, ord: writes that follow the one before by more than the gap, and the first."""
-    w = Window.partitionBy("tune_id").orderBy("clock", "seq")
-    starts = log.withColumn("_d", F.col("clock") - F.lag("clock").over(w)).filter(F.col("_d").isNull() | (F.col("_d") > gap))
-    return starts.select("tune_id", F.col("clock").alias("start"), F.row_number().over(Window.partitionBy("tune_id").orderBy("clock", "seq")).alias("ord"))
+    rows = previous(log, ["tune_id"], "clock", ["seq"], "clock", "_p", BLOCK * FRAME)
+    starts = rows.filter(F.col("_p").isNull() | (F.col("clock") - F.col("_p") > gap)).select("tune_id", "seq", F.col("clock").alias("start"))
+    return running(starts, ["tune_id"], "start", ["seq"], F.lit(1).cast("long"), "ord", BLOCK * FRAME).select("tune_id", "start", F.col("ord").cast("int").alias("ord"))
+
+
+def _steps(log: DataFrame, gap: int) -> DataFrame:
+    """Bursts with d, the interval from the one before."""
+    return previous(burst_starts(log, gap), ["tune_id"], "ord", [], "start", "_p", 4 * BLOCK).withColumn("d", F.col("start") - F.col("_p")).drop("_p")
 
 
 def play_period(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame:
     """tune_id, period: the median interval of bursts; the frame where there are under 4 bursts or it is out of range."""
-    steps = burst_starts(log, gap).withColumn("d", F.col("start") - F.lag("start").over(Window.partitionBy("tune_id").orderBy("ord")))
-    found = steps.groupBy("tune_id").agg(F.count("*").alias("n"), F.median("d").alias("m"))
+    found = _steps(log, gap).groupBy("tune_id").agg(F.count("*").alias("n"), F.median("d").alias("m"))
     bad = (F.col("n") < 4) | (F.col("m") <= 0) | (F.col("m") >= 0.9 * frame)
     return found.select("tune_id", F.when(bad, F.lit(float(frame))).otherwise(F.col("m")).alias("period"))
 
@@ -76,14 +84,12 @@ def play_period(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame
 def first_play(log: DataFrame, frame: int = FRAME, gap: int = GAP, slack: int = FRAME // 2) -> DataFrame:
     """tune_id, first: the first burst that three intervals follow which differ from the frame by less than the slack, else the
     first burst."""
-    w = Window.partitionBy("tune_id").orderBy("ord")
-    starts = burst_starts(log, gap)
-    near = F.lit(True)
-    for k in (1, 2, 3):
-        step = F.lead("start", k).over(w) - (F.lead("start", k - 1).over(w) if k > 1 else F.col("start"))
-        near = near & (F.abs(step - frame) < slack)
-    starts = starts.withColumn("near", near)
-    return starts.groupBy("tune_id").agg(F.coalesce(F.min(F.when(F.col("near"), F.col("start"))), F.min("start")).alias("first"))
+    steps = _steps(log, gap)
+    # Each near interval stands for the burst that is one, two or three places before its end.
+    near = steps.filter(F.abs(F.col("d") - frame) < slack).select("tune_id", F.explode(F.array(*(F.col("ord") - k for k in (1, 2, 3)))).alias("ord"))
+    good = near.groupBy("tune_id", "ord").agg(F.count("*").alias("n")).filter("n = 3")
+    starts = steps.join(good, ["tune_id", "ord"], "left")
+    return starts.groupBy("tune_id").agg(F.coalesce(F.min(F.when(F.col("n") == 3, F.col("start"))), F.min("start")).alias("first"))
 
 
 def framing_loss(log: DataFrame, frame: int = FRAME) -> DataFrame:
@@ -108,7 +114,7 @@ def best_lag(state: DataFrame, a: int, b: int, span: int = 12, least: int = 20)
 def policies(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame:
     """tune_id, bursts, span, policy: how to frame a tune. static: all writes are in one frame; cadence: fewer than two bursts, or
     fewer than nine tenths of the frames that they span; gap: each burst is a frame."""
-    rows = log.withColumn("_d", F.col("clock") - F.lag("clock").over(Window.partitionBy("tune_id").orderBy("clock", "seq")))
+    rows = previous(log, ["tune_id"], "clock", ["seq"], "clock", "_p", BLOCK * frame).withColumn("_d", F.col("clock") - F.col("_p"))
     stats = rows.groupBy("tune_id").agg(F.sum(F.when(F.col("_d").isNull() | (F.col("_d") > gap), 1).otherwise(0)).alias("bursts"), (F.rint((F.max("clock") - F.min("clock")) / frame) + 1).cast("long").alias("span"))
     policy = F.when(F.col("span") < 2, "static").when((F.col("bursts") < 2) | (F.col("bursts") < 0.9 * F.col("span")), "cadence").otherwise("gap")
     return stats.select("tune_id", "bursts", "span", policy.alias("policy"))
@@ -116,9 +122,9 @@ def policies(log: DataFrame, frame: int = FRAME, gap: int = GAP) -> DataFrame:
 
 def burst_frames(log: DataFrame, gap: int = GAP) -> DataFrame:
     """The last write of each (tune, burst, register), with the burst's place as the frame."""
-    w = Window.partitionBy("tune_id").orderBy("clock", "seq")
-    own = log.withColumn("_d", F.col("clock") - F.lag("clock").over(w)).withColumn("_new", F.when(F.col("_d") > gap, 1).otherwise(0))
-    own = own.withColumn("frame", F.sum("_new").over(w).cast("int"))
+    own = previous(log, ["tune_id"], "clock", ["seq"], "clock", "_p", BLOCK * FRAME)
+    new = F.when(F.col("clock") - F.col("_p") > gap, 1).otherwise(0)
+    own = running(own, ["tune_id"], "clock", ["seq"], new, "frame", BLOCK * FRAME).withColumn("frame", F.col("frame").cast("int"))
     return own.groupBy("tune_id", "frame", "reg").agg(F.max_by("val", F.struct("clock", "seq")).alias("val"))
 
 

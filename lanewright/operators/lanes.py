@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import previous
+from .framing import BLOCK
+
 #: Bits of a register that count, where not all do.
 MASKS = {3: 0x0F, 10: 0x0F, 17: 0x0F, 21: 0x07, 23: 0xF7}
 VOICES = (0, 1, 2)
@@ -101,7 +104,7 @@ def smallest_period(lane: DataFrame, most: int = 8) -> DataFrame:
 
 def schedule(points: DataFrame) -> DataFrame:
     """tune_id, gap: the commonest interval of distinct frames, the smallest on ties."""
-    own = points.select("tune_id", "frame").distinct().withColumn("gap", F.lead("frame").over(Window.partitionBy("tune_id").orderBy("frame")) - F.col("frame"))
+    own = previous(points.select("tune_id", "frame").distinct(), ["tune_id"], "frame", [], "frame", "_p", BLOCK).withColumn("gap", F.col("frame") - F.col("_p"))
     counts = own.filter(F.col("gap").isNotNull()).groupBy("tune_id", "gap").agg(F.count("*").alias("n"))
     return counts.groupBy("tune_id").agg(F.min_by("gap", F.struct(-F.col("n"), "gap")).alias("gap"))
 
