@@ -248,24 +248,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tup
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x, k, words).tobytes() for x in b["text"].to_pylist()], pa.binary())], ["id", "s"])
-
-    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s binary"), "whole")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "x"):
-            yes = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                yes.append(bool(both) and t[1] * both >= t[0] * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(yes, pa.bool_())), b["b"].filter(pa.array(yes, pa.bool_()))], ["a", "b"])
+            found = [shingles(x, k, words) for x in b["text"].to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([EMPTY, *found])))], ["id", "s"])
 
+    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s array<long>"), "whole")
     for key, s in (("a", "x"), ("b", "y")):
         pairs = _with_side(pairs, total, own.select(F.col("id").alias(key), F.col("s").alias(s)), key)
-    links = steps.write(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "links")
+    # Row by row in the JVM: a batch of pairs of very long sets would have no bound.
+    both = F.size(F.array_intersect("x", "y"))
+    links = pairs.filter((both > 0) & (t[1] * both >= t[0] * (F.size("x") + F.size("y") - both)))
+    links = steps.write(links.select("a", "b"), "links")
     steps.drop("pairs", "ids", "whole")
     return links
 
@@ -368,12 +361,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = [_small_links(sets, drop, partner, t, steps)] if drop else []
 
     # Inverted lists of the first shingles of large sets, with size bands: sets that link are in the same band or neighbours.
-    entries = sets.filter(F.col("n") > bound).select("id", "n", F.posexplode("first").alias("i", "s"))
-    entries = entries.filter(F.col("i") < F.col("n") - F.ceil(F.lit(t[0]) * F.col("n") / t[1]) + 1) if bound < whole else entries
-    entries = steps.write(entries.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")), "all")
-    lists = entries.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = steps.write(join_groups(entries, lists, ["s"], "c", entries.count(), steps).drop("c").withColumn("comp", F.col("id")), "entries")
-    steps.drop("all", "groups")
+    large = sets.filter(F.col("n") > bound).select("id", "n", "first")
+    if bound < whole:
+        large = large.withColumn("first", F.slice("first", 1, (F.col("n") - F.ceil(F.lit(t[0]) * F.col("n") / t[1]) + 1).cast("int")))
+    lists = large.select(F.explode("first").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    total = large.agg(F.sum(F.size("first")).alias("n")).collect()[0]["n"] or 0
+    entries = large.select("id", "n", F.posexplode("first").alias("i", "s")).withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(t[1] / t[0]) * (1 + 1e-9))).cast("int"))
+    entries = steps.write(join_groups(entries, lists, ["s"], "c", total, steps).drop("c").withColumn("comp", F.col("id")), "entries")
+    steps.drop("groups")
     total = entries.count()
 
     # First each set with one set of its lists, of its size band: the smallest id, then the largest of another component.
