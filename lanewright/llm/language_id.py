@@ -35,14 +35,15 @@ def letters() -> np.ndarray:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all trigrams of all texts, where each text starts, and letters of each text."""
-    joined = "\n".join(texts) + "\n\n\n"
+    joined = "\n\n\n".join(texts) + "\n\n\n"  # so no trigram reaches from one text into the next
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = folded = letters()[codes]
-    h = (a[:-2] * np.uint32(0x9E3779B1)) ^ (a[1:-1] * np.uint32(0x85EBCA77)) ^ (a[2:] * np.uint32(0xC2B2AE3D))
-    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
+    a = letters()[codes]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.cumsum(sizes) - sizes
-    return h[: int(sizes.sum())], starts, np.add.reduceat((folded > 0).astype(np.int64), starts) if len(texts) else np.zeros(0, np.int64)
+    at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(len(texts)), sizes)
+    h = (a[at] * np.uint32(0x9E3779B1)) ^ (a[at + 1] * np.uint32(0x85EBCA77)) ^ (a[at + 2] * np.uint32(0xC2B2AE3D))
+    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
+    return h, starts, np.add.reduceat((a[at] > 0).astype(np.int64), starts) if len(texts) else np.zeros(0, np.int64)
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:

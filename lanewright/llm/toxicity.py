@@ -32,7 +32,7 @@ IDENTITY_TERMS = [
 ]
 #: Terms that are found in the sample: at most so many, each in so many texts of both classes at least, whose share of the
 #: texts differs by at most so many standard errors.
-NEUTRAL_TERMS, NEUTRAL_TEXTS, NEUTRAL_Z = 64, 5, 1.0
+NEUTRAL_TERMS, NEUTRAL_TEXTS, NEUTRAL_Z = 16, 5, 1.0
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -91,7 +91,7 @@ def neutral_terms(rows: DataFrame, t0: float, t1: float) -> list[list[str]]:
     return [found[k : k + 2] for k in range(0, len(found) - 1, 2)]
 
 
-def fit(y: np.ndarray, texts: tuple[np.ndarray, np.ndarray], changes: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, penalty: float = 1.0, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, texts: tuple[np.ndarray, np.ndarray], changes: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, penalty: float = 1.0, ridge: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the log loss, a ridge and penalty * (score change by the swap)^2.
 
     y: labels; texts: row and feature of all features of all texts; changes: pair, feature and sign (1 lost, -1 gained) of what a
