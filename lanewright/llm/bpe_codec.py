@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordCoder, units
-from .common import kept, slices
+from .common import kept, slices, small_batches
 
 #: Characters of a leaf; longer texts are halved.
 LEAF = 1 << 14
@@ -84,6 +84,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ids array<int>, decoded string. Null and empty texts have no ids and decode to the empty text. Repeated rows give
     repeated rows, an empty table none. Other columns of docs are ignored. Ids must not be null.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     out = f"id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 400
-#: Bytes of text that a Python task turns into Python objects at once.
-SLICE = 1 << 21
+#: Bytes of text that a Python task turns into Python objects at once, and rows of the batches that it is sent.
+SLICE, BATCH_ROWS = 1 << 21, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches to and from Python get fewer of them than Spark's default, unless the session sets a number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Steps:
     """Tables that an operator writes to the shared folder, so that what follows neither recomputes them nor depends on one
     executor. Those that nothing reads any more are dropped; what the operator's result reads stays until `clear`."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/lanewright/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
 

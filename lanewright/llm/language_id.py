@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import held, slices, small_batches
 
 BUCKETS, RUN = 1 << 16, 16
 #: Bytes of text that are turned into trigrams at once.
@@ -52,6 +52,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
     At most BUCKETS rows a language are gathered, so what the driver and each task hold grows with the number of languages,
     half a megabyte each, and not with the documents.
     """
+    small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

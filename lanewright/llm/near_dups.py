@@ -26,7 +26,7 @@ from .common import Steps, join_groups, least_hot, salted_join, slices
 #: depend on them.
 COUNTERS, HANDED, FREQUENT = 1 << 18, 1 << 16, 200_000
 #: Digests of sets that a task remembers, so that copies count once.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 15
 #: Up to so many ids of candidates are broadcast to pick their texts; more go through an ordinary join.
 BROADCAST_IDS = 1_000_000
 EMPTY = np.zeros(0, np.int64)
@@ -35,7 +35,7 @@ EMPTY = np.zeros(0, np.int64)
 class Words(dict):
     """64-bit hashes of words, remembered up to `most` words."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 50_000):
         super().__init__()
         self.most = most
 
@@ -93,6 +93,8 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 #: Buckets of a sketch: how many shingles of a set fall into each, in one byte each. In columns, eight are in a long integer.
 BUCKETS = 64
 PACKED = [f"k{i}" for i in range(BUCKETS // 8)]
+#: The shingles of so many buckets (the first packed column) are compared before whole sets are.
+PART = 8
 #: Entries of a list that meet in one task; larger lists are cut into blocks, and each pair of blocks is a task of its own.
 BLOCK = 2048
 
@@ -248,14 +250,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tup
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in slices(batches, "text"):
+            cols = [b["id"]]
             found = [shingles(x, k, words) for x in b["text"].to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([EMPTY, *found])))], ["id", "s"])
-
-    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s array<long>"), "whole")
+            for sets in (found, [s[(s & (BUCKETS - 1)) < PART] for s in found]):
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([EMPTY, *sets]))))
+            packs = [packed(s) for s in found]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[c] for x in packs], pa.int64()) for c in range(len(PACKED)))], ["id", "s", "part", *PACKED])
+
+    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s array<long>, part array<long>, " + ", ".join(f"{c} long" for c in PACKED)), "whole")
+    # First the shingles of an eighth of the buckets, and of the others the counts: what two sets can have in common at most. Of
+    # two sets that have little in common, few bytes are moved so. All of it is row by row in the JVM: a batch of pairs of very long
+    # sets would have no bound.
+    for key in ("a", "b"):
+        side = own.select(F.col("id").alias(key), F.size("s").alias(f"n_{key}"), F.col("part").alias(f"part_{key}"), *(F.col(c).alias(f"{c}_{key}") for c in PACKED[PART // 8 :]))
+        pairs = _with_side(pairs, total, side, key)
+    n, m = F.col("n_a"), F.col("n_b")
+    rest = F.least(n - F.size("part_a"), m - F.size("part_b"), F.coalesce(packed_overlap(*([F.col(f"{c}_{key}") for c in PACKED[PART // 8 :]] for key in ("a", "b"))), F.lit(1 << 40)))
+    most = F.size(F.array_intersect("part_a", "part_b")) + rest
+    pairs = steps.replace(pairs.filter(most * (t[0] + t[1]) >= t[0] * (n + m)).select("a", "b").distinct(), "pairs")
     for key, s in (("a", "x"), ("b", "y")):
         pairs = _with_side(pairs, total, own.select(F.col("id").alias(key), F.col("s").alias(s)), key)
-    # Row by row in the JVM: a batch of pairs of very long sets would have no bound.
     both = F.size(F.array_intersect("x", "y"))
     links = pairs.filter((both > 0) & (t[1] * both >= t[0] * (F.size("x") + F.size("y") - both)))
     links = steps.write(links.select("a", "b"), "links")
