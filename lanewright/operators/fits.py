@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which they win ties, and the dwells and periods that are tried.
-GRIDS = {"arp": [(d, p) for d in (1, 2, 3, 4) for p in range(2, 7)], "tablewalk": [(1, p) for p in range(2, 13)], "dwell": [(d, 1) for d in range(1, 9)], "ratewalk": [(1, p) for p in range(2, 9)]}
+GRIDS = {"arp": [(d, p) for d in (1, 2, 3, 4) for p in range(2, 7)], "tablewalk": [(1, p) for p in range(2, 13)], "dwell": [(d, 1) for d in range(1, 9)], "ratewalk": [(1, p) for p in range(2, 9)],
+         "decay": [(d, p) for d in range(2, 5) for p in range(1, d)], "vibrato": [(1, p) for p in range(8)], "lead": [(d, p) for d in range(1, 7) for p in range(2, 9)]}
 MASK = 65535
 
 
@@ -26,7 +27,16 @@ def predicted(kind: Column, v: Column, i: Column, d: Column, p: Column) -> Colum
     walk = at(F.pmod(F.floor(i / d), p) * d)
     step = at(F.lit(0)) + (at(d) - at(F.lit(0))) * F.floor(i / d)
     rate = at(F.pmod(i, p)) + (at(p) - at(F.lit(0))) * F.floor(i / p)
-    return F.when(kind.isin("arp", "tablewalk"), walk).when(kind == "dwell", step.bitwiseAND(MASK)).otherwise(rate.bitwiseAND(MASK))
+    fall = at(F.lit(0)) - (at(F.lit(0)) - at(d - p)) * F.floor((p + i) / d)  # p is the phase of the first drop
+    tri = lambda x: F.least(F.pmod(x, F.lit(8)), 7 - F.pmod(x, F.lit(8)))
+    turn = F.when(tri(p + 1) != tri(p), F.lit(1)).otherwise(F.lit(2))  # the first place where the triangle moves; p is its phase
+    amp = (at(turn) - at(F.lit(0))) * (tri(p + turn) - tri(p))
+    swing = at(F.lit(0)) + (tri(p + i) - tri(p)) * amp
+    late = F.when(i < d, at(F.lit(0))).otherwise(at(d + F.pmod(i - d, p)))  # d is the lead
+    return (
+        F.when(kind.isin("arp", "tablewalk"), walk).when(kind == "dwell", step.bitwiseAND(MASK)).when(kind == "ratewalk", rate.bitwiseAND(MASK))
+        .when(kind == "decay", fall.bitwiseAND(MASK)).when(kind == "vibrato", swing.bitwiseAND(MASK)).otherwise(late)
+    )
 
 
 def matched(v: Column, kind: Column, d: Column, p: Column) -> Column:
@@ -36,11 +46,14 @@ def matched(v: Column, kind: Column, d: Column, p: Column) -> Column:
 
 
 def accepted(v: Column, kind: Column, d: Column, p: Column, match: Column) -> Column:
-    """Whether a match is long enough: a whole cycle of at least two values, two cycles, two steps, two cycles of steps."""
+    """Whether a match is long enough: a whole cycle of at least two values, two cycles, two steps, two cycles of steps, two drops,
+    a whole triangle, two cycles after the lead."""
     cycle = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), p - 1), lambda k: F.get(v, k * d)))) >= 2
     return (
         F.when(kind == "arp", (match >= p * d) & cycle).when(kind == "tablewalk", (match >= 2 * p) & cycle)
-        .when(kind == "dwell", (match >= 2 * d + 1) & (F.get(v, d) != F.get(v, F.lit(0)))).otherwise((match >= F.greatest(F.lit(8), 2 * p)) & (F.size(v) > p))
+        .when(kind == "dwell", (match >= 2 * d + 1) & (F.get(v, d) != F.get(v, F.lit(0)))).when(kind == "ratewalk", (match >= F.greatest(F.lit(8), 2 * p)) & (F.size(v) > p))
+        .when(kind == "decay", (match >= 2 * d + 1) & (F.get(v, F.lit(0)) > F.get(v, d - p))).when(kind == "vibrato", (match >= 9) & (F.get(v, F.lit(0)) != F.get(v, F.lit(2))))
+        .otherwise((match >= d + 2 * p) & (F.size(F.array_distinct(F.slice(v, d + 1, p))) >= 2))
     )
 
 

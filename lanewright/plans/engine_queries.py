@@ -92,11 +92,13 @@ def _segments_of(log: DataFrame) -> DataFrame:
 
 
 _cand = ", ".join(f"({k}, '{kind}', {d}, {p})" for k, (kind, d, p) in enumerate((kind, d, p) for kind, grid in fits.GRIDS.items() for d, p in grid))
-_FITS = LANE + NOTES + f""", cand AS (SELECT * FROM (VALUES {_cand}) c(rank, kind, d, p)),
+_FITS = LANE + NOTES + f""", cand AS (SELECT *, CASE WHEN least((p + 1) % 8, 7 - (p + 1) % 8) <> least(p % 8, 7 - p % 8) THEN 1 ELSE 2 END AS tn FROM (VALUES {_cand}) c(rank, kind, d, p)),
 m AS (SELECT tune_id, voice, start, vs AS v, len(vs) AS n, rank, kind, d, p, coalesce(list_min([i FOR i IN range(0, len(vs)) IF vs[(i + 1)::INT] IS DISTINCT FROM CASE WHEN kind IN ('arp', 'tablewalk') THEN vs[((i // d) % p * d + 1)::INT]
-WHEN kind = 'dwell' THEN (vs[1] + (vs[(d + 1)::INT] - vs[1]) * (i // d)) & 65535 ELSE (vs[(i % p + 1)::INT] + (vs[(p + 1)::INT] - vs[1]) * (i // p)) & 65535 END]), len(vs)) AS length FROM segs, cand),
+WHEN kind = 'dwell' THEN (vs[1] + (vs[(d + 1)::INT] - vs[1]) * (i // d)) & 65535 WHEN kind = 'ratewalk' THEN (vs[(i % p + 1)::INT] + (vs[(p + 1)::INT] - vs[1]) * (i // p)) & 65535 WHEN kind = 'decay' THEN (vs[1] - (vs[1] - vs[(d - p + 1)::INT]) * ((p + i) // d)) & 65535
+WHEN kind = 'vibrato' THEN (vs[1] + (least((p + i) % 8, 7 - (p + i) % 8) - least(p, 7 - p)) * (vs[(tn + 1)::INT] - vs[1]) * (least((p + tn) % 8, 7 - (p + tn) % 8) - least(p, 7 - p))) & 65535 WHEN i < d THEN vs[1] ELSE vs[(d + (i - d) % p + 1)::INT] END]), len(vs)) AS length FROM segs, cand),
 ok AS (SELECT * FROM m WHERE CASE kind WHEN 'arp' THEN length >= p * d AND len(list_distinct([vv FOR vv IN [v[(k * d + 1)::INT] FOR k IN range(0, p)]])) + CASE WHEN list_contains([v[(k * d + 1)::INT] IS NULL FOR k IN range(0, p)], true) THEN 1 ELSE 0 END >= 2
-WHEN 'tablewalk' THEN length >= 2 * p AND len(list_distinct([v[(k * d + 1)::INT] FOR k IN range(0, p)])) >= 2 WHEN 'dwell' THEN length >= 2 * d + 1 AND v[(d + 1)::INT] <> v[1] ELSE length >= greatest(8, 2 * p) AND n > p END),
+WHEN 'tablewalk' THEN length >= 2 * p AND len(list_distinct([v[(k * d + 1)::INT] FOR k IN range(0, p)])) >= 2 WHEN 'dwell' THEN length >= 2 * d + 1 AND v[(d + 1)::INT] <> v[1] WHEN 'ratewalk' THEN length >= greatest(8, 2 * p) AND n > p WHEN 'decay' THEN length >= 2 * d + 1 AND v[1] > v[(d - p + 1)::INT]
+WHEN 'vibrato' THEN length >= 9 AND v[1] <> v[3] ELSE length >= d + 2 * p AND len(list_distinct(v[(d + 1)::INT:(d + p)::INT])) >= 2 END),
 best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY tune_id, voice, start ORDER BY length DESC, rank) = 1),
 fit AS (SELECT tune_id, voice, start, len(vs)::INT AS n, kind, d::INT AS dwell, p::INT AS period, length::INT AS length FROM segs LEFT JOIN best USING (tune_id, voice, start))"""
 add("best_fits", lambda x: fits.best_fits(_segments_of(x), ["tune_id", "voice", "start"]), _FITS, "SELECT * FROM fit")

@@ -183,9 +183,9 @@ def test_generators_are_the_loops_they_stand_for(spark):
 
 
 def test_fits(spark):
-    rows = [(0, [5] * 9), (1, [1, 1, 4, 4, 9, 9] * 3 + [1, 1]), (2, list(range(0, 60, 3))), (3, [7, 8, 9, 2, 3] * 4 + [0]), (4, [0, 1, 3, 4, 6, 7, 9, 10, 12, 13]), (5, [4]), (6, [3, 1])]
+    rows = [(0, [5] * 9), (1, [1, 1, 4, 4, 9, 9] * 3 + [1, 1]), (2, list(range(0, 60, 3))), (3, [7, 8, 9, 2, 3] * 4 + [0]), (4, [0, 1, 3, 4, 6, 7, 9, 10, 12, 13]), (5, [4]), (6, [3, 1]), (7, [90, 80, 80, 80, 70, 70, 70]), (8, [50 + 7 * min(x % 8, 7 - x % 8) for x in range(2, 21)]), (9, [4, 4, 4, 1, 2, 1, 2, 1, 2, 1])]
     found = {r["k"]: (r["kind"], r["dwell"], r["period"], r["length"]) for r in fits.best_fits(spark.createDataFrame(rows, "k long, v array<bigint>"), ["k"]).collect()}
-    assert found == {0: ("ratewalk", 1, 2, 9), 1: ("arp", 1, 6, 20), 2: ("dwell", 1, 1, 20), 3: ("arp", 1, 5, 20), 4: ("ratewalk", 1, 2, 10), 5: (None,) * 4, 6: ("arp", 1, 2, 2)}
+    assert found == {0: ("ratewalk", 1, 2, 9), 1: ("arp", 1, 6, 20), 2: ("dwell", 1, 1, 20), 3: ("arp", 1, 5, 20), 4: ("ratewalk", 1, 2, 10), 5: (None,) * 4, 6: ("arp", 1, 2, 2), 7: ("decay", 3, 2, 7), 8: ("tablewalk", 1, 8, 19), 9: ("lead", 3, 2, 10)}
 
 
 def test_policies(spark):
