@@ -43,3 +43,29 @@ def test_stream(spark, tmp_path):
     query = binned_stream(stream).writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, binned_stream(table).collect()))
+
+
+def test_late_writes_are_left_out(spark, tmp_path):
+    """A write that comes more than two hours after the newest one it follows no longer changes a closed frame."""
+    schema = "tune_id long, seq long, reg int, val long, s long"
+    batches = [[(1, 1, 0, 10, 0), (1, 2, 0, 11, 1800)], [(1, 3, 0, 50, 6 * 3600)], [(1, 4, 0, 99, 900), (1, 5, 0, 51, 6 * 3600 + 60)], [(1, 6, 0, 60, 12 * 3600)]]
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)).selectExpr("tune_id", "seq", "reg", "val", "timestamp_seconds(s) as ts")
+    for k, rows in enumerate(batches):
+        (source / f"{k}.json").write_text("".join(f'{{"tune_id":{a},"seq":{b},"reg":{c},"val":{d},"s":{e}}}\n' for a, b, c, d, e in rows))
+        query = binned_stream(stream).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    found = sorted((int(r["frame_start"].timestamp()) % 86400 // 3600, r["val"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == [(0, 11), (6, 51)]
+
+
+def test_formats(spark, tmp_path):
+    from lanewright.sources import tables
+
+    rows = spark.createDataFrame([(1, 2, 3, 4, 5), (2, 3, 4, 5, 6)], tables.SCHEMA)
+    for kind in tables.FILES:
+        rows.write.format(kind).save(str(tmp_path / kind))
+        assert sorted(map(tuple, tables.read_log(spark, str(tmp_path / kind), kind).collect())) == [(1, 2, 3, 4, 5), (2, 3, 4, 5, 6)]
+    raw = spark.sql("""SELECT CAST('{"tune_id":1,"seq":2,"clock":3,"reg":4,"val":5}' AS BINARY) AS value, timestamp_seconds(9) AS timestamp UNION ALL SELECT CAST('no' AS BINARY), timestamp_seconds(9)""")
+    assert [tuple(r)[:5] for r in tables.messages(raw).collect()] == [(1, 2, 3, 4, 5)]
