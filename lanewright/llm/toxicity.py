@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, w, b0 = shared.value
-        own = Features(index)
+        own, w = Features(index), w.tolist()
         for b in slices(batches, text_col):
             z = np.array([b0 + sum(w[f] for f in own.of(t or "")) for t in b[text_col].to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
