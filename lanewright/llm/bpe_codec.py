@@ -98,7 +98,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = kept(TextCoder, path)
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b["id"], *columns(c.encode_all(b["text"].to_pylist()))], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

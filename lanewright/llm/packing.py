@@ -144,7 +144,7 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool
 
         c, part = kept(WordCoder, path), TaskContext.get().partitionId()
         stop, ranks = np.array([end], "<u2").tobytes(), [0] * (CLASSES + 2)
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
             each: list[int] = []
             for k, coded in enumerate(c.encode_all(b["text"].to_pylist())):
