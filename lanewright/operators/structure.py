@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.scalars import rotation
 from .blocks import following
@@ -172,7 +173,7 @@ def held_pitches(runs: DataFrame, least: int = 2) -> DataFrame:
     return own.join(enough, "tune_id").select("tune_id", (F.row_number().over(Window.partitionBy("tune_id").orderBy("v")) - 1).alias("k"), "v")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def gcd_of(v: pd.Series) -> int:
     return int(np.gcd.reduce(v.dropna().to_numpy(np.int64), initial=0))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import compression, cover, encoding, fits, framing, generators, lanes, ramps, relations
@@ -237,9 +238,14 @@ Q["semi_join"] = lambda s, d: _c(s, d).join(_o(s, d).filter("o_orderstatus = 'F'
 SQL["semi_join"] = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1"
 Q["anti_join"] = lambda s, d: _c(s, d).join(_o(s, d).filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 SQL["anti_join"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
-_LEVELS = [F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity")]
-Q["rollup"] = lambda s, d: _l(s, d).rollup("l_returnflag", "l_linestatus").agg(*_LEVELS)
-Q["cube"] = lambda s, d: _l(s, d).cube("l_returnflag", "l_linestatus").agg(*_LEVELS)
+
+
+def _levels() -> list:
+    return [F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity")]
+
+
+Q["rollup"] = lambda s, d: _l(s, d).rollup("l_returnflag", "l_linestatus").agg(*_levels())
+Q["cube"] = lambda s, d: _l(s, d).cube("l_returnflag", "l_linestatus").agg(*_levels())
 for _name, _by in (("rollup", "ROLLUP (l_returnflag, l_linestatus)"), ("cube", "CUBE (l_returnflag, l_linestatus)"), ("grouping_sets", "GROUPING SETS ((l_returnflag), (l_linestatus), ())")):
     SQL[_name] = f"SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY {_by}"
 
@@ -261,17 +267,17 @@ Q["map_split"] = lambda s, d: _e(s, d).withColumn("m", F.create_map(F.lit("id"),
 SQL["map_split"] = "SELECT event_id, user_id AS \"user\", ((event_id > 100)::INT + (user_id > 100)::INT)::INT AS large FROM events"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _folded(v: pd.Series) -> pd.Series:
     return (v * 2654435761 % 65521).astype("int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _span(v: pd.Series) -> int:
     return int(v.max() - v.min())
 
 
-@F.udtf(returnType="part int, digit int")
+@F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("digit", IntegerType())]))
 class Digits:
     """The decimal digits of a number, one row each."""
 
