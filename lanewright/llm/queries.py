@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, token_files, toxicity, url_filter
+from . import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, token_files, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.sql()}
