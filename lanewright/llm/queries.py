@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, token_files, toxicity, url_filter, vector_codes
+from . import bpe_codec, exact_dedup, fingerprints, hard_negatives, html_text, language_id, near_dups, packing, token_counts, token_files, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -68,9 +69,14 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.sql()}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.sql(), "op13_hard_negatives": hard_negatives.SQL}
