@@ -16,7 +16,10 @@ from .common import Steps, join_groups
 
 #: Up to so many ids of rows with shared hashes are broadcast to pick their texts; more go through an ordinary join.
 BROADCAST_IDS = 1_000_000
-SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: White space: code points below U+0100 one by one, which the matcher looks up in a bit set, and the others.
+NARROW, BROAD = r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0", r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Latin letters, signs and general punctuation up to here can't change under composition or folding, but for those of `odd`.
+LATIN, PUNCTUATION = 0x2FF, (0x2010, 0x2027)
 
 
 def _class(chars: list[str]) -> str:
@@ -53,10 +56,15 @@ class Tables:
         seconds = sorted({ab[-1] for ab, _ in pairs})
         #: Texts with none of these are composed: characters that join the one before, that stand for others, two marks in a row.
         unstable = sorted({*seconds, *(c for c, _ in self.apart if nfc(c) != c), *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))})
+        plain = [chr(c) for c in (*range(LATIN + 1), *range(PUNCTUATION[0], PUNCTUATION[1] + 1))]
+        assert not set(plain) & {*unstable, *self.marks}
+        #: Most texts have none of these, a class of few ranges; only the others are looked at with the classes of many ranges.
+        self.maybe_unstable = f"[^{_class(plain)[1:]}"
         self.any_mark = _class(self.marks)
         self.unstable = f"{_class(unstable)}|{self.any_mark}{{2}}"
         odd = [c for c in chars if c != "ß" and c.casefold() != (c.lower() if c not in "Σ\u0130" else "")]
         self.odd = _class(odd)
+        self.maybe_odd = f"[^{_class([c for c in plain if c not in set(odd)])[1:]}"
         self.folds = [(c, c.casefold()) for c in odd]
 
 
@@ -113,6 +121,10 @@ def cluster_composed(cluster: Column) -> Column:
     return F.aggregate(ordered, state(F.lit(""), F.lit(""), F.lit(0)), add, lambda s: F.concat(s["base"], s["rest"]))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def composed(text: Column) -> Column:
     """Canonical composition. Texts in which nothing can change pass."""
     t = tables()
@@ -120,7 +132,7 @@ def composed(text: Column) -> Column:
     slow = F.array_join(F.transform(clusters, lambda c: F.when(c.rlike(t.unstable), cluster_composed(c)).otherwise(c)), "")
     letters = F.split(F.lit(",".join(c + ab for ab, c in t.letters)), ",")
     slow = F.aggregate(letters, slow, lambda s, p: F.replace(s, F.substring(p, 2, 9), F.left(p, F.lit(1))))
-    return F.when(text.rlike(t.unstable), hangul(slow)).otherwise(text)
+    return F.when(is_ascii(text), text).when(text.rlike(t.maybe_unstable) & text.rlike(t.unstable), hangul(slow)).otherwise(text)
 
 
 def case_folded(text: Column) -> Column:
@@ -130,12 +142,21 @@ def case_folded(text: Column) -> Column:
     several = F.split(F.lit(",".join(a + b for a, b in t.folds if len(b) > 1)), ",")
     odd = F.aggregate(several, F.translate(text, "".join(a for a, _ in single), "".join(b for _, b in single)), lambda s, p: F.replace(s, F.left(p, F.lit(1)), F.substring(p, 2, 9)))
     sharp = lambda c: F.replace(c, F.lit("ß"), F.lit("ss"))
-    return F.lower(sharp(F.when(text.rlike(t.odd), odd).otherwise(text)))
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.lower(sharp(F.when(text.rlike(t.maybe_odd) & text.rlike(t.odd), odd).otherwise(text))))
+
+
+def spaced(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends. Single spaces are not touched."""
+    narrow = F.when(~is_ascii(text) & text.rlike(f"[{BROAD}]"), F.regexp_replace(text, f"[{BROAD}]", " ")).otherwise(text)
+    return F.trim(F.regexp_replace(narrow, f"[{NARROW}]{{2,}}|[{NARROW[1:]}]", " "))
 
 
-def canonical(text: Column) -> Column:
-    """Composed, case-folded, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(case_folded(composed(text)), SPACE, " "))
+def with_canonical(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds out: the text composed, case-folded, with runs of white space as one space and none at the ends. Each step is a
+    projection of its own, so that none is evaluated again by the next."""
+    df = df.withColumn(out, composed(F.col(text_col)))
+    df = df.withColumn(out, case_folded(F.col(out)))
+    return df.withColumn(out, spaced(F.col(out)))
 
 
 def wide(text: Column) -> Column:
@@ -199,15 +220,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     steps = Steps(docs.sparkSession, "fingerprints")
     order = successors(texts.select("id", F.length("text").alias("n_chars")), "id", steps)
-    by_id = texts.repartition("id")
+    # Each text is folded once; its hash goes with it, to its own row and to that of the document before it.
+    by_id = with_canonical(texts, "text", "canon").select("id", "text", wide(F.col("canon")).alias("hash")).repartition("id")
     start = F.col("text").substr(F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int"))
-    starts = by_id.join(order.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(start.alias("start"), F.xxhash64("text").alias("row"), F.col("id"), wide(canonical(F.col("text"))).alias("hash")).alias("next"))
+    starts = by_id.join(order.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(start.alias("start"), F.xxhash64("text").alias("row"), F.col("id"), "hash").alias("next"))
     starts = starts.groupBy("id").agg(F.min("next").alias("next"))
     both = by_id.join(starts.hint("merge"), "id").withColumn("edited", edited_text(F.col("text"), F.col("next.start")))
     found = steps.write(
-        both.select(
-            "id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), wide(canonical(F.col("text"))).alias("hash"),
-            wide(canonical(F.col("edited"))).alias("edited_hash"), F.col("next.hash").alias("next_hash"), F.col("next.id").alias("next_id"), F.col("next.row").alias("next_row")),
+        with_canonical(both, "edited", "canon").select(
+            "id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash",
+            wide(F.col("canon")).alias("edited_hash"), F.col("next.hash").alias("next_hash"), F.col("next.id").alias("next_id"), F.col("next.row").alias("next_row")),
         "fingerprints")
 
     # Rows that share a hash with others, and the texts that they are made of.
@@ -222,7 +244,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nxt = small.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("text").alias("start"))
     edited = shared.filter("kind = 'e'").join(small, ["id", "row"]).join(nxt, ["next_id", "next_row"]).withColumn("text", edited_text(F.col("text"), F.col("start")))
     compared = own.select("id", "row", "kind", "hash", "text").unionByName(edited.select("id", "row", "kind", "hash", "text"))
-    extra = suffixes(compared.select("id", "row", "kind", "hash", canonical(F.col("text")).alias("canon")), steps)
+    extra = suffixes(with_canonical(compared, "text", "canon").select("id", "row", "kind", "hash", "canon"), steps)
     if extra is None:
         found = found.select("*", *(F.lit(0).alias(c) for c in ("s", "es", "ns")))
     else:

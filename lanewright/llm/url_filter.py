@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     The urls that a rule decides teach the naive Bayes model, which decides all others: block where its log odds are over 0,
     so allow if there is nothing to learn from. Null urls and urls without :// have an empty host and path. Repeated rows
-    are judged alike. An empty table gives no rows. Other columns are ignored.
+    are judged alike. An empty table gives no rows. Other columns are ignored. Words of more than LONGEST letters are not known,
+    and what is not known is split into runs of at most LONGEST letters, in hosts of any length.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -116,7 +117,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         docs[which[r["ruled"]]] = r["n"]
     for r in learn.select("ruled", F.explode("buckets").alias("b")).groupBy("ruled", "b").agg(F.count("*").alias("n")).collect():  # at most 2 * BUCKETS rows
         counts[which[r["ruled"]], r["b"]] = r["n"]
-    logs = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * BUCKETS))
+    # Smoothed over what occurs, not over all buckets: else the sizes of the two classes would speak through every common token.
+    logs = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * max(1, np.count_nonzero(counts.sum(0)))))
     odds = np.where(counts.sum(0) > 0, logs[1] - logs[0], 0.0) if docs.all() else np.zeros(BUCKETS)
     prior = math.log(docs[1] / docs[0]) if docs.all() else (1.0 if docs[1] else -1.0)
 

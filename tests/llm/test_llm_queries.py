@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from plain_urls import judged
 from tokenizers import Tokenizer
 
 from lanewright.llm import html_text, language_id, queries
@@ -72,17 +73,22 @@ def test_op3_and_op4(spark, texts):
 
 
 def test_op5(spark):
-    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    rows = {r["page_id"]: r for r in run(spark, "op5_url_filter")}
-    assert rows.keys() == urls.keys()
-    for i, u in urls.items():
-        rest = u.split("://", 1)[1] if u and "://" in u else ""
+    pages = {r["page_id"]: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = {r["page_id"]: r for r in queries.op5_url_filter(spark, "/root/testdata/sf0.01").collect()}
+    assert rows.keys() == pages.keys()
+    parts = {}
+    for i, p in pages.items():
+        rest = p["url"].split("://", 1)[1] if p["url"] and "://" in p["url"] else ""
         host = re.split("[/?#]", rest)[0]
         path = re.split("[?#]", rest[len(host) :])[0]
-        host = "".join(c.lower() if c.isascii() else c for c in host)
+        parts[i] = host, path = "".join(c.lower() if c.isascii() else c for c in host), path
         fits = [(t, v) for t, v in queries.URL_RULES if ("." + host).endswith("." + t.partition("/")[0]) and path.startswith("/" + t.partition("/")[2])]
-        rule, verdict = max(fits, key=lambda f: len(f[0]), default=(None, None))
-        assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"]) == (host, path, rule) and rows[i]["verdict"] in ((verdict,) if verdict else ("allow", "block"))
+        assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"]) == (host, path, max(fits, key=lambda f: len(f[0]), default=(None,))[0])
+    want = judged(pages, {i: p["html"] for i, p in pages.items()}, queries.URL_RULES, parts)
+    assert {i: r["verdict"] for i, r in rows.items()} == {i: w[0] for i, w in want.items()}
+    blocked = [odds for _, ruled, odds in want.values() if ruled == "block"]
+    assert sum(odds > 0 for odds in blocked) >= 0.8 * len(blocked), "the model alone tells most urls that a rule blocks"
+    assert {w[0] for w in want.values() if not w[1]} == {"allow", "block"}
 
 
 def test_op7_finds_what_it_has_not_seen(spark):

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as tokenizer_files
 import pytest
+from plain_urls import judged
 from tokenizers import Tokenizer
 
 from lanewright.llm import bpe_codec, exact_dedup, fingerprints, html_text, language_id, near_dups, packing, token_counts, toxicity, transducer, url_filter
@@ -389,10 +390,6 @@ def test_viterbi():
 
 
 def test_verdicts_beyond_the_rules_are_those_of_plain_viterbi_and_naive_bayes(spark):
-    import math
-    import re
-    from collections import Counter
-
     rng = random.Random(2)
     words = "blue sky news river shop green stone paper light seven".split()
     names = ["".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(40)] + ["a" * 20, "xq7"]
@@ -402,38 +399,10 @@ def test_verdicts_beyond_the_rules_are_those_of_plain_viterbi_and_naive_bayes(sp
     pages = spark.createDataFrame([(i, u, h, "w", 1) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string, word string, n long").repartition(3)
     rules = [("com/de/", "block"), ("com/fr/", "allow"), ("org/", "allow")]
     got = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
-    count = Counter(w for h in html for w in re.split("[^a-z]+", h.lower()) if w)
-    total = sum(count.values())
-
-    def split(label):  # all splits, the likeliest by the same unigram model
-        best = [(0.0, [])]
-        for end in range(1, len(label) + 1):
-            options = []
-            for start in range(max(0, end - url_filter.LONGEST), end):
-                w = label[start:end]
-                cost = math.log(total) - (math.log(count[w]) if count[w] else math.log(10) - len(w) * math.log(10))
-                options.append((best[start][0] + cost, start, best[start][1] + [w]))
-            cost, _, ws = min(options, key=lambda o: o[:2])
-            best.append((cost, ws))
-        return best[-1][1]
-
-    bags, ruled = {}, {}
-    for i, u in enumerate(urls):
-        host, path = got[i]["host"], got[i]["path"]
-        bag = ["h:" + w for label in host.split(".") if label for w in split(label)]
-        bags[i] = bag + ["p:" + re.sub("[0-9]+", "0", w) for w in re.split(r"[\W_]+", path.lower()) if w]
-        ruled[i] = next((v for t, v in sorted(rules, key=lambda r: -len(r[0])) if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.partition("/")[2])), None)
-    seen = {v: Counter(w for i in bags if ruled[i] == v for w in bags[i]) for v in ("allow", "block")}
-    size = {v: sum(c.values()) for v, c in seen.items()}
-    n = Counter(ruled.values())
-    for i in bags:
-        odds = math.log(n["block"] / n["allow"])
-        for w in bags[i]:
-            if seen["allow"][w] + seen["block"][w]:
-                odds += math.log((seen["block"][w] + 1) / (size["block"] + url_filter.BUCKETS)) - math.log((seen["allow"][w] + 1) / (size["allow"] + url_filter.BUCKETS))
-        assert abs(odds - got[i]["block_score"]) < 1e-6, (i, (urls[i] or "")[:80], bags[i][:20], odds, got[i]["block_score"])
-        assert got[i]["verdict"] == (ruled[i] or ("block" if odds > 0 else "allow"))
-    assert len({r["verdict"] for i, r in got.items() if not ruled[i]}) == 2
+    want = judged(dict(enumerate(urls)), dict(enumerate(html)), rules, {i: (r["host"], r["path"]) for i, r in got.items()})
+    for i, (verdict, _, odds) in want.items():
+        assert abs(odds - got[i]["block_score"]) < 1e-6 and got[i]["verdict"] == verdict, (urls[i] or "")[:80]
+    assert len({r["verdict"] for i, r in got.items() if not want[i][1]}) == 2
 
 
 def test_blocks_of_pages_that_the_tree_has_not_seen():
