@@ -176,11 +176,18 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, tota
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-#: Up to so many keys are broadcast to drop their rows; more go through an ordinary join.
-BROADCAST_KEYS = 1_000_000
+#: Keys of up to so many bytes, as they lie in a hash table, are broadcast; more go through an ordinary join.
+BROADCAST_BYTES = 16 << 20
+
+
+def sendable(keys: DataFrame) -> DataFrame:
+    """keys, marked for broadcast where their bytes are within BROADCAST_BYTES: counted rows at 64 bytes each, and strings."""
+    strings = [F.octet_length(f.name) for f in keys.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = keys.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(s), F.lit(0)).alias(f"s{k}") for k, s in enumerate(strings)]).collect()[0]
+    return F.broadcast(keys) if 64 * size["n"] + sum(size[1:]) <= BROADCAST_BYTES else keys
 
 
 def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are not among the dropped ones."""
     dropped = materialise(dropped.select(keys).distinct(), "dropped")
-    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped, keys, "left_anti").select(rows.columns)
+    return rows.join(sendable(dropped), keys, "left_anti").select(rows.columns)

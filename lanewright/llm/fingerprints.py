@@ -12,10 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, join_groups
+from .common import Steps, join_groups, sendable
 
-#: Up to so many ids of rows with shared hashes are broadcast to pick their texts; more go through an ordinary join.
-BROADCAST_IDS = 1_000_000
 #: White space: code points below U+0100 one by one, which the matcher looks up in a bit set, and the others.
 NARROW, BROAD = r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0", r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Latin letters, signs and general punctuation up to here can't change under composition or folding, but for those of `odd`.
@@ -238,7 +236,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     shared = steps.write(join_groups(hashes, many, ["hash"], "n", 2 * found.count(), steps).drop("n"), "shared")
     need = shared.select("id").union(shared.filter("kind = 'e'").select(F.col("next_id").alias("id"))).distinct()
-    small = texts.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id").withColumn("row", F.xxhash64("text")).distinct()
+    small = texts.join(sendable(need), "id").withColumn("row", F.xxhash64("text")).distinct()
     small = steps.write(small, "texts")
     own = shared.filter("kind = 't'").join(small, ["id", "row"])
     nxt = small.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("text").alias("start"))

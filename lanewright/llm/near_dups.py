@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, join_groups, least_hot, salted_join, slices
+from .common import Steps, join_groups, least_hot, salted_join, sendable, slices
 
 #: Each task counts the shingles of all its sets in a summary of this many counters, and hands on at most so many of the
 #: largest; of all tasks, so many are taken for frequent. These only choose an order of the shingles; the result does not
@@ -27,8 +27,6 @@ from .common import Steps, join_groups, least_hot, salted_join, slices
 COUNTERS, HANDED, FREQUENT = 1 << 18, 1 << 16, 200_000
 #: Digests of sets that a task remembers, so that copies count once.
 REMEMBERED = 1 << 15
-#: Up to so many ids of candidates are broadcast to pick their texts; more go through an ordinary join.
-BROADCAST_IDS = 1_000_000
 EMPTY = np.zeros(0, np.int64)
 
 
@@ -257,7 +255,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, t: tup
             packs = [packed(s) for s in found]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[c] for x in packs], pa.int64()) for c in range(len(PACKED)))], ["id", "s", "part", *PACKED])
 
-    own = steps.write(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").mapInArrow(made, "id long, s array<long>, part array<long>, " + ", ".join(f"{c} long" for c in PACKED)), "whole")
+    own = steps.write(rows.join(sendable(ids), "id").mapInArrow(made, "id long, s array<long>, part array<long>, " + ", ".join(f"{c} long" for c in PACKED)), "whole")
     # First the shingles of an eighth of the buckets, and of the others the counts: what two sets can have in common at most. Of
     # two sets that have little in common, few bytes are moved so. All of it is row by row in the JVM: a batch of pairs of very long
     # sets would have no bound.
