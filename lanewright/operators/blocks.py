@@ -43,3 +43,14 @@ def following(df: DataFrame, keys: list[str], at: str, value: Column, out: str,
     least = least.withColumn("_after", F.min("_least").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing))).drop("_least")
     rows = df.withColumn("_in", F.min("_v").over(later)).join(least, [*keys, "_block"])
     return rows.withColumn(out, F.least("_in", "_after")).drop("_in", "_after", "_v", "_block")
+
+
+def last_known(df: DataFrame, keys: list[str], at: str, order: list[str], value: str, out: str, size: int) -> DataFrame:
+    """Adds out: the last value, up to this row, that is not null."""
+    df = _blocked(df, F.col(at), size)
+    w = Window.partitionBy(*keys, "_block").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.groupBy(*keys, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(at, *order))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", True).over(before)).drop("_end")
+    rows = df.withColumn("_own", F.last(value, True).over(w)).join(ends, [*keys, "_block"])
+    return rows.withColumn(out, F.coalesce("_own", "_before")).drop("_own", "_before", "_block")

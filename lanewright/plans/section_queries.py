@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import provenance
 from ..sources import sections
-from .queries import LOG, add
+from .engine_queries import _BUS, bus_log
+from .queries import LOG, SQL, Q, add
 
 #: What the tables are made of: for each tune and register, writes and distinct values.
 _REGS = ", regs AS (SELECT tune_id, reg, count(*) AS n, arg_max(val, seq) AS last, min(val) AS lo, max(val) AS hi, sum(val)::BIGINT AS total, list_sort(list(DISTINCT val)) AS vs, row_number() OVER (PARTITION BY tune_id ORDER BY reg) - 1 AS k FROM log GROUP BY 1, 2)"
@@ -78,5 +80,45 @@ add("section_memory", lambda x: _tune(sections.memory(sections.read_sections(_fi
 add("section_access", lambda x: _tune(sections.access_bits(sections.read_sections(_files(x), ["ACMP"]))), LOG + _REGS, """, s AS (SELECT tune_id, n % 60000 AS run, last % 64 AS bits, coalesce(sum(n % 60000) OVER (PARTITION BY tune_id ORDER BY reg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM regs)
 SELECT tune_id, unnest(range(start, least(start + run, 65536))) AS addr, bits FROM s WHERE start < 65536""")
 add("section_reads", lambda x: _tune(sections.reads(sections.read_sections(_files(x), ["IDXR", "IDXS", "IWLK"]))).withColumn("walks", F.concat_ws(",", F.col("walks").cast("array<string>"))), LOG + _REGS, """SELECT tune_id, 4096 + reg AS pc, lo AS base, reg - 12 AS stride, lo, hi, n AS count, CASE WHEN reg % 2 = 0 THEN reg % 2 = 1 END AS fitted, CASE WHEN reg % 2 = 0 THEN reg - 3 END AS scale,
-CASE WHEN reg % 2 = 0 THEN hi END AS base_fit, CASE WHEN reg % 2 = 0 THEN 1 << reg END AS feeds, CASE WHEN reg % 2 = 0 THEN (reg % 8) & 6 = 6 END AS pointers, CASE WHEN reg % 3 = 0 THEN '0' ELSE '' END AS walks FROM regs""")
+CASE WHEN reg % 2 = 0 THEN hi END AS base_fit, CASE WHEN reg % 2 = 0 THEN 1 << reg END AS feeds, CASE WHEN reg % 2 = 0 THEN (reg % 8) & 2 = 2 END AS inside, CASE WHEN reg % 2 = 0 THEN (reg % 8) & 6 = 6 END AS pointers, CASE WHEN reg % 3 = 0 THEN '0' ELSE '' END AS walks FROM regs""")
+_inside = lambda x: sections.reads(sections.read_sections(_files(x), ["IDXR", "IDXS", "IWLK"]))
+
+
+def _pointers(log: DataFrame) -> DataFrame:
+    files = _files(log)
+    return provenance.pointer_sequences(_inside(log), sections.memory(sections.read_sections(files, ["SNAP"])), ["path"], 0, 5000)
+
+
+def _used(log: DataFrame) -> DataFrame:
+    return sections.access_bits(sections.read_sections(_files(log), ["ACMP"]))
+
+
+def _banks(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    extents = provenance.read_extents(_used(log), ["path"], 0, 5000)
+    shifts = log.select(F.col("tune_id").cast("string").alias("path")).distinct().select("path", F.explode(F.array(F.lit(0), F.lit(64))).alias("delta"))
+    return provenance.read_banks(_pointers(log), extents, shifts, ["path"])
+
+
+_MEM = ", mem AS (SELECT tune_id, addr, arg_max(byte, reg) AS byte FROM (SELECT tune_id, reg * 200 + generate_subscripts(vs, 1) - 1 AS addr, unnest(vs) AS byte, reg FROM regs) GROUP BY 1, 2)"
+_PTRS = _MEM + """, cand AS (SELECT tune_id, 4096 + reg AS pc, lo AS base, lo, hi, p.packing, p.step, CASE WHEN p.packing = 'split' THEN hi - lo + 1 ELSE 1 END AS off FROM regs, (VALUES ('interleaved', 2), ('split', 1), ('adjacent', 1)) p(packing, step)
+WHERE reg % 2 = 0 AND reg & 2 = 2 AND hi - lo + 1 BETWEEN 2 AND 512 AND (p.packing <> 'interleaved' OR reg - 12 = 2)), idx AS (SELECT *, unnest(range(lo, hi + 1)) AS i FROM cand),
+ptrs AS (SELECT c.tune_id, pc, base, packing, i AS k, coalesce(a.byte, 0) + 256 * coalesce(b.byte, 0) AS pointer FROM idx c LEFT JOIN mem a ON a.tune_id = c.tune_id AND a.addr = base + step * i LEFT JOIN mem b ON b.tune_id = c.tune_id AND b.addr = base + step * i + off)"""
+add("pointer_sequences", lambda x: _tune(_pointers(x)), LOG + _REGS, _PTRS[2:].join([", ", " SELECT * FROM ptrs"]))
+_EXT = """, s AS (SELECT tune_id, n % 60000 AS run, last % 64 AS bits, coalesce(sum(n % 60000) OVER (PARTITION BY tune_id ORDER BY reg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM regs),
+ac AS (SELECT tune_id, unnest(range(start, least(start + run, 65536))) AS addr, bits FROM s WHERE start < 65536), rd AS (SELECT tune_id, addr, addr - row_number() OVER (PARTITION BY tune_id ORDER BY addr) AS g FROM ac WHERE bits & 16 = 16 AND addr < 5000),
+ext AS (SELECT tune_id, addr, least(max(addr) OVER (PARTITION BY tune_id, g) - addr + 1, 1024) AS length FROM rd)"""
+add("read_extents", lambda x: _tune(provenance.read_extents(_used(x), ["path"], 0, 5000)), LOG + _REGS, _EXT[2:].join([", ", " SELECT * FROM ext"]))
+_BANK = _PTRS + _EXT + """, rs AS (SELECT p.tune_id, pc, packing, d AS delta, k, ((pointer - d) % 65536 + 65536) % 65536 AS src FROM ptrs p, (VALUES (0), (64)) v(d)), hit AS (SELECT rs.*, length FROM rs LEFT JOIN ext e ON e.tune_id = rs.tune_id AND e.addr = src),
+sc AS (SELECT tune_id, pc, packing, delta, count(DISTINCT src) FILTER (length IS NOT NULL) AS patterns, count(length) AS walked FROM hit GROUP BY 1, 2, 3, 4 HAVING patterns >= 2 AND 5 * patterns <= 4 * walked),
+best AS (SELECT tune_id, pc, packing, delta FROM sc QUALIFY row_number() OVER (PARTITION BY tune_id ORDER BY patterns DESC, pc, packing, delta) = 1), won AS (SELECT h.* FROM hit h JOIN best USING (tune_id, pc, packing, delta)),
+bank AS (SELECT tune_id, pc, packing, delta, src, length, row_number() OVER (PARTITION BY tune_id ORDER BY src) - 1 AS pattern FROM (SELECT DISTINCT tune_id, pc, packing, delta, src, length FROM won WHERE length IS NOT NULL))"""
+add("pattern_banks", lambda x: _tune(_banks(x)[0]), LOG + _REGS, _BANK[2:].join([", ", " SELECT * FROM bank"]))
+add("pattern_orders", lambda x: _tune(_banks(x)[1]), LOG + _REGS, _BANK[2:].join([", ", " SELECT w.tune_id, k, pattern FROM won w LEFT JOIN bank b ON b.tune_id = w.tune_id AND b.src = w.src"]))
+_bit = lambda b: provenance.fed(b.withColumn("val", F.col("val") % 2), ["tune_id"])
+_FED = _BUS + """, o AS (SELECT *, last_value(CASE WHEN rw = 0 THEN {'a': addr, 'v': val % 2} END IGNORE NULLS) OVER (PARTITION BY tune_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS l FROM bus),
+fed AS (SELECT tune_id, seq, (addr - 54272)::INT AS reg, CASE WHEN l.v = val % 2 THEN l.a END AS addr FROM o WHERE rw = 1 AND addr BETWEEN 54272 AND 54296)"""
+Q["fed_writes"], SQL["fed_writes"] = lambda spark, sf_dir: _bit(bus_log(spark, sf_dir)), f"WITH {_FED} SELECT * FROM fed"
+Q["walked_tables"] = lambda spark, sf_dir: provenance.table_walks(_bit(bus_log(spark, sf_dir)), ["tune_id"])
+SQL["walked_tables"] = f"""WITH {_FED}, d AS (SELECT *, addr - lag(addr) OVER w AS d FROM fed WHERE addr IS NOT NULL WINDOW w AS (PARTITION BY tune_id, reg ORDER BY seq)), e AS (SELECT *, CASE WHEN d <> lag(d) OVER (PARTITION BY tune_id, reg ORDER BY seq) THEN 1 ELSE 0 END AS c FROM d),
+g AS (SELECT *, sum(c) OVER (PARTITION BY tune_id, reg ORDER BY seq) AS walk FROM e) SELECT tune_id, reg, walk::BIGINT AS walk, min(seq) AS start, arg_min(addr, seq) AS addr, max(d) AS stride, count(*) AS n FROM g GROUP BY 1, 2, 3"""
 add("section_streams", lambda x: _tune(sections.sample_streams(sections.read_sections(_files(x), ["DIGI"]))), LOG, "SELECT tune_id, tune_id * 5 >= 16 AND tune_id % 2 = 0 AS digital FROM log GROUP BY 1")

@@ -251,12 +251,12 @@ def memory(rows: DataFrame) -> DataFrame:
 
 def reads(rows: DataFrame) -> DataFrame:
     """Indexed reads with the fit, the registers they feed and the walks that go with their program counter, where there are any:
-    path, pc, base, stride, lo, hi, count, fitted, scale, base_fit, feeds, pointers (whether they point into the image at what is
-    read), walks (voices that have one)."""
+    path, pc, base, stride, lo, hi, count, fitted, scale, base_fit, feeds, inside (whether its values are addresses in the image),
+    pointers (and at what is read there), walks (voices that have one)."""
     own = section(rows, "IDXR").drop("entry")
     last = section(rows, "IDXS").groupBy("path", "pc").agg(F.max_by(F.struct("flags", "scale", "base", "feeds"), "entry").alias("s"))
     flag = lambda bits: F.col("s.flags").bitwiseAND(bits) == bits
-    fit = last.select("path", "pc", flag(FITTED).alias("fitted"), F.col("s.scale").alias("scale"), F.col("s.base").alias("base_fit"), F.col("s.feeds").alias("feeds"), flag(TARGETS_INSIDE | TARGETS_READ).alias("pointers"))
+    fit = last.select("path", "pc", flag(FITTED).alias("fitted"), F.col("s.scale").alias("scale"), F.col("s.base").alias("base_fit"), F.col("s.feeds").alias("feeds"), flag(TARGETS_INSIDE).alias("inside"), flag(TARGETS_INSIDE | TARGETS_READ).alias("pointers"))
     walks = section(rows, "IWLK").groupBy("path", "pc").agg(F.array_sort(F.collect_set("voice")).alias("walks"))  # at most three voices
     return own.join(fit, ["path", "pc"], "left").join(walks, ["path", "pc"], "left")
 
