@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,6 +86,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return Steps(df.sparkSession, "step").write(df, tag)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns memory to the system that this process holds but does not use: a worker lives on from one operator to the next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 _KEPT: list[tuple] = []
 
 
@@ -92,6 +109,7 @@ def kept(make, *args):
     another holds the tables of one of them."""
     if not _KEPT or _KEPT[0][:2] != (make, args):
         _KEPT.clear()
+        give_back()
         _KEPT.append((make, args, make(*args)))
     return _KEPT[0][2]
 
@@ -108,7 +126,7 @@ def slices(batches: Iterator[pa.RecordBatch], col: str, most: int = SLICE) -> It
                 start, size = i + 1, 0
         if start < b.num_rows or not b.num_rows:
             yield b.slice(start)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def held(fields: list[str], wanted: str) -> str:

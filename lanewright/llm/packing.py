@@ -131,7 +131,7 @@ def plan(counts: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarra
     return patterns, times
 
 
-def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool = False, units: int = 200_000) -> DataFrame:
     """Pieces of all documents: part, rank (in its class and part), class, id, start, length, ids_crc32, doc_tokens, ids.
 
     Nothing is cut from full windows again, so their ids are null unless they are asked for.
@@ -142,7 +142,7 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, part = kept(WordCoder, path), TaskContext.get().partitionId()
+        c, part = kept(WordCoder, path, units), TaskContext.get().partitionId()
         stop, ranks = np.array([end], "<u2").tobytes(), [0] * (CLASSES + 2)
         for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
@@ -166,15 +166,16 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool
     return docs.mapInArrow(pieces, f"id {kind}, part int, rank long, class int, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, units: int = 200_000) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, two bytes each).
 
     Null and empty texts are documents of one token, the end id. Repeated rows are packed as often as they occur. An empty
-    table gives no rows. Other columns of docs are ignored. At most one window is not full.
+    table gives no rows. Other columns of docs are ignored. At most one window is not full. units: words whose ids a worker keeps, a
+    matter of memory and time alone.
     """
     steps = Steps(docs.sparkSession, "packing")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = steps.write(tokenised(docs, path, end, window, with_ids), "pieces")
+    pieces = steps.write(tokenised(docs, path, end, window, with_ids, units), "pieces")
 
     # The histogram has CLASSES + 1 rows, whatever the input.
     hist = {r["class"]: (r["n"], r["t"]) for r in pieces.groupBy("class").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()}
