@@ -11,15 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import tri_phase
 
-#: What each kind is to the general generator. Mode: table entries are read, or steps are summed up with wrapping, or
-#: reflected at bounds. Clock: what moves it on. Overlay: a falling high byte on every other frame.
-PRESETS = {
-    "hold": ("read", "never", ""), "accum": ("sum", "every", ""), "wrapaccum": ("wrap", "every", ""), "dwell": ("sum", "dwell", ""), "maskaccum": ("sum", "mask", ""),
-    "ratewalk": ("sum", "every", ""), "dwellratewalk": ("sum", "dwell", ""), "tablewalk": ("read", "every", ""), "tablewalk_lead": ("read", "every", ""), "arp": ("read", "dwell", ""),
-    "wavetable_ptr": ("read", "mask", ""), "glide": ("read", "dwell", ""), "vibrato": ("read", "every", ""), "vibrato_exact": ("read", "every", ""), "decay": ("sum", "dwell", ""),
-    "pingpong": ("reflect", "dwell", ""), "pingfold": ("reflect", "every", ""), "vibreflect": ("reflect", "every", ""), "vibskydive": ("read", "every", "falling"),
-    "arp_decay": ("read", "dwell", "falling"), "additive_pw": ("sum", "every", ""),
-}
 MASK = 65535
 
 

@@ -78,13 +78,6 @@ l_linenumber::BIGINT % 4 AS lead, 100::BIGINT AS lo, 150::BIGINT AS hi, l_linenu
 r AS (SELECT *, unnest(range(0, dur)) AS i FROM s) SELECT seg_id, """ + ", ".join(f"sum((i + 1) * ({e}))::BIGINT AS {k}" for k, e in _GEN.items()) + " FROM r GROUP BY 1"
 
 
-def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in generators.PRESETS.items()], "kind string, mode string, clock string, overlay string").groupBy("mode", "clock").agg(F.count("*").alias("kinds"), F.sum((F.col("overlay") != "").cast("int")).cast("long").alias("overlaid"))
-
-
-Q["generator_presets"] = _presets
-SQL["generator_presets"] = "SELECT * FROM (VALUES ('read', 'never', 1::BIGINT, 0::BIGINT), ('sum', 'every', 3, 0), ('wrap', 'every', 1, 0), ('sum', 'dwell', 3, 0), ('sum', 'mask', 1, 0), ('read', 'every', 5, 1), ('read', 'dwell', 3, 1), ('read', 'mask', 1, 0), ('reflect', 'dwell', 1, 0), ('reflect', 'every', 2, 0)) v(mode, clock, kinds, overlaid)"
-
 # Fits.
 
 
