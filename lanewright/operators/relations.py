@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import last_known
+
 #: Bits of an access byte (executed, written, read), and the range that data of a song may lie in.
 EXECUTED, WRITTEN, READ, IO_START = 1, 2, 4, 0xD000
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str], block: int = 1 << 36) -> DataFrame:
     """The rows of left, each with the values of the last row of right that is not later (null if there is none).
 
-    Both are laid in one order for each key, and the last right row before is carried on: one shuffle and one sort, and no pair
-    of rows is made. Of equal times, the right row comes first.
+    Both are laid in one order for each key and block of `block` units of `at` (a number), and the last right row before is carried
+    on, also from the blocks before: no pair of rows is made, and no task sees all rows of a key. Of equal times, the right row
+    comes first.
     """
     own = [c for c in left.columns if c not in keys]
     a = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
     b = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_right"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    last = F.last("_right", True).over(Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_last", last).filter("_side = 1").select(*keys, *(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_last.{v}").alias(v) for v in values))
+    both = last_known(a.unionByName(b, allowMissingColumns=True), keys, "_at", ["_side"], "_right", "_last", block)
+    return both.filter("_side = 1").select(*keys, *(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int) -> DataFrame:
