@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.dumps import REGISTER_BASE, REGISTERS
 from .blocks import last_known, previous, running
+from .structure import strides
 
 #: Events of a block, and bytes of a pattern at most.
 BLOCK, LONGEST = 1 << 14, 1024
@@ -84,3 +85,19 @@ def read_banks(pointers: DataFrame, extents: DataFrame, shifts: DataFrame, keys:
     bank = won.filter(F.col("length").isNotNull()).select(*by, "src", "length").distinct()
     bank = bank.withColumn("pattern", F.row_number().over(Window.partitionBy(*keys).orderBy("src")) - 1)  # an entry for each of up to 512 pointers
     return bank, won.join(bank.select(*keys, "src", "pattern"), [*keys, "src"], "left").select(*keys, "k", "pattern")
+
+
+def record_tables(leaves: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+    """keys, base, stride: where records of a fixed size lie that register writes take their values from. leaves: keys, pc, reg, addr,
+    the addresses that a write at pc was fed from. Addresses of one field of a table lie a multiple of the stride apart: of writes
+    with three addresses in the image or more, the stride that most have, the smallest on ties, and the least address of all."""
+    own = leaves.filter((F.col("addr") >= first) & (F.col("addr") < last)).select(*keys, "pc", "reg", F.col("addr").cast("long").alias("addr"))
+    fields = strides(own, [*keys, "pc", "reg"]).filter("n >= 3 and stride >= 2")
+    counts = fields.groupBy(*keys, "stride").agg(F.count("*").alias("_n"), F.min("first").alias("_first"))
+    return counts.groupBy(*keys).agg(F.min("_first").alias("base"), F.min_by("stride", F.struct(-F.col("_n"), "stride")).alias("stride"))
+
+
+def read_leaves(slices: DataFrame, leaf_read: int = 1) -> DataFrame:
+    """path, pc, reg, addr: the addresses in memory that a slice of a section file flowed from."""
+    pairs = F.filter(F.arrays_zip("leaf_kind", "leaf_addr"), lambda x: x["leaf_kind"] == leaf_read)
+    return slices.select("path", "pc", "reg", F.explode(F.transform(pairs, lambda x: x["leaf_addr"])).alias("addr"))

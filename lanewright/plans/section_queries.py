@@ -121,4 +121,7 @@ Q["fed_writes"], SQL["fed_writes"] = lambda spark, sf_dir: _bit(bus_log(spark, s
 Q["walked_tables"] = lambda spark, sf_dir: provenance.table_walks(_bit(bus_log(spark, sf_dir)), ["tune_id"])
 SQL["walked_tables"] = f"""WITH {_FED}, d AS (SELECT *, addr - lag(addr) OVER w AS d FROM fed WHERE addr IS NOT NULL WINDOW w AS (PARTITION BY tune_id, reg ORDER BY seq)), e AS (SELECT *, CASE WHEN d <> lag(d) OVER (PARTITION BY tune_id, reg ORDER BY seq) THEN 1 ELSE 0 END AS c FROM d),
 g AS (SELECT *, sum(c) OVER (PARTITION BY tune_id, reg ORDER BY seq) AS walk FROM e) SELECT tune_id, reg, walk::BIGINT AS walk, min(seq) AS start, arg_min(addr, seq) AS addr, max(d) AS stride, count(*) AS n FROM g GROUP BY 1, 2, 3"""
+add("record_tables", lambda x: _tune(provenance.record_tables(provenance.read_leaves(sections.section(sections.read_sections(_files(x), ["SDDF"]), "SDDF")), ["path"], 20, 700)), LOG + _REGS, """, lf AS (SELECT DISTINCT tune_id, reg, v * 3 AS addr FROM (SELECT tune_id, reg, unnest(vs) AS v FROM regs) WHERE v % 5 = 1 AND v * 3 BETWEEN 20 AND 699),
+df AS (SELECT *, addr - lag(addr) OVER (PARTITION BY tune_id, reg ORDER BY addr) AS d FROM lf), fl AS (SELECT tune_id, reg, min(addr) AS f, list_reduce(list(d) FILTER (d IS NOT NULL), lambda x, y: gcd(x, y)) AS g, count(*) AS n FROM df GROUP BY 1, 2 HAVING count(*) >= 3),
+ct AS (SELECT tune_id, g, count(*) AS m, min(f) AS f FROM fl WHERE g >= 2 GROUP BY 1, 2) SELECT tune_id, min(f)::BIGINT AS base, (first(g ORDER BY m DESC, g))::BIGINT AS stride FROM ct GROUP BY 1""")
 add("section_streams", lambda x: _tune(sections.sample_streams(sections.read_sections(_files(x), ["DIGI"]))), LOG, "SELECT tune_id, tune_id * 5 >= 16 AND tune_id % 2 = 0 AS digital FROM log GROUP BY 1")
