@@ -6,9 +6,11 @@ all lanes are worked on in parallel, in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frames of a block, and the shortest copy.
@@ -198,23 +200,34 @@ def token_stream(ops: DataFrame) -> DataFrame:
     return ops.groupBy("tune_id", "lane", "block").agg(F.flatten(F.transform(each, lambda x: x["t"])).alias("tokens"), F.min("start").alias("start"))
 
 
+def grouped_tokens(tokens: list[int], start: int) -> list[tuple[str, int, int, int, int]]:
+    """(op, start, length, offset, shift) of a token array, in one pass."""
+    out, i = [], 0
+    while i < len(tokens):
+        kind = tokens[i]
+        if kind == 0:
+            out.append(("literal", start, 1, 0, tokens[i + 1]))
+        else:
+            out.append(("repeat" if kind == 1 else "transpose", start, tokens[i + 2], tokens[i + 1], tokens[i + 3] if kind == 2 else 0))
+        start += out[-1][2]
+        i += 2 + kind
+    return out
+
+
 def read_tokens(streams: DataFrame) -> DataFrame:
-    """tune_id, lane, block, op, start, length, offset, shift: the inverse of token_stream. A fold over the tokens keeps the token
-    group that is being read, and gives back all that are complete."""
-    size = lambda kind: F.when(kind == 0, 2).when(kind == 1, 3).otherwise(4)
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("open"), F.array().cast("array<array<bigint>>").alias("done"))
-
-    def read(acc: Column, t: Column) -> Column:
-        grown = F.concat(acc["open"], F.array(t))
-        full = F.size(grown) == size(F.get(grown, 0))
-        return F.struct(F.when(full, none).otherwise(grown).alias("open"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"))
-
-    groups = streams.select("tune_id", "lane", "block", "start", F.posexplode(F.aggregate("tokens", start, read, lambda a: a["done"])).alias("k", "g"))
-    kind = F.get("g", F.lit(0))
-    length = F.when(kind == 0, F.lit(1)).otherwise(F.get("g", F.lit(2)))
-    before = Window.partitionBy("tune_id", "lane", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = groups.withColumn("length", length.cast("long")).withColumn("start", F.col("start") + F.coalesce(F.sum("length").over(before), F.lit(0)))
-    op = F.when(kind == 0, "literal").when(kind == 1, "repeat").otherwise("transpose")
-    shift = F.when(kind == 0, F.get("g", F.lit(1))).when(kind == 2, F.get("g", F.lit(3))).otherwise(F.lit(0))
-    return rows.select("tune_id", "lane", "block", op.alias("op"), "start", "length", F.when(kind == 0, F.lit(0)).otherwise(F.get("g", F.lit(1))).cast("long").alias("offset"), shift.cast("long").alias("shift"))
+    """tune_id, lane, block, op, start, length, offset, shift: the inverse of token_stream."""
+    tune = streams.schema["tune_id"].dataType.simpleString()
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, each = [], []
+            for k, (tokens, start) in enumerate(zip(b["tokens"].to_pylist(), b["start"].to_pylist(), strict=True)):
+                own = grouped_tokens(tokens, start)
+                rows += own
+                each += [k] * len(own)
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            index = pa.array(each, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c].take(index) for c in ("tune_id", "lane", "block")), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["tune_id", "lane", "block", "op", "start", "length", "offset", "shift"])
+
+    return streams.select("tune_id", "lane", "block", "start", "tokens").mapInArrow(read, f"tune_id {tune}, lane string, block long, op string, start long, length long, offset long, shift long")
