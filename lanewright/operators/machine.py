@@ -68,10 +68,31 @@ def values(i: Column, m: dict[str, Column]) -> Column:
 
 def rendered(machines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, i, v: a row for each frame of each machine. machines: keys, start_frame, length, and the fields of a machine, whose
-    first frame is start_frame."""
-    fields = {c: F.col(c) for c in ("mode", "table", "mask", *NUMBERS)}
-    rows = machines.filter("length > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
-    return rows.select(*keys, (F.col("start_frame") + F.col("_i")).alias("i"), values(F.col("_i"), fields).alias("v"))
+    first frame is start_frame. The frames of a machine are made at once, in Arrow batches."""
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.drop_columns(keys).to_pylist()
+            each = np.repeat(np.arange(len(rows)), [max(0, r["length"]) for r in rows])
+            made = [run(r, r["length"]) for r in rows if r["length"] > 0]
+            at = [r["start_frame"] + np.arange(r["length"]) for r in rows if r["length"] > 0]
+            flat = lambda xs: pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(each, pa.int64())) for c in keys), flat(at), flat(made)], [*keys, "i", "v"])
+
+    own = ", ".join(f"{c} {machines.schema[c].dataType.simpleString()}" for c in keys)
+    return machines.select(*keys, "start_frame", "length", "mode", "table", "mask", *NUMBERS).mapInArrow(run_all, f"{own}, i long, v long")
+
+
+def sequences(machines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, v: all frames of each machine as one array."""
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [run(r, max(0, r["length"])) for r in b.drop_columns(keys).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keys), pa.array(made, pa.list_(pa.int64()))], [*keys, "v"])
+
+    own = ", ".join(f"{c} {machines.schema[c].dataType.simpleString()}" for c in keys)
+    return machines.select(*keys, "length", "mode", "table", "mask", *NUMBERS).mapInArrow(run_all, f"{own}, v array<long>")
 
 
 def preset(kind: str, p: dict[str, Column]) -> dict[str, Column]:
@@ -167,10 +188,13 @@ def folded(x: np.ndarray) -> tuple[list[int], int] | None:
     best = None
     for head in range(min(HEAD, len(x)) + 1):
         own = x[head:]
-        for p in range(1, min(PERIOD, len(own) // 2) + 1):
+        most = min(PERIOD, len(own) // 2)
+        for p in (np.flatnonzero(own[1 : most + 1] == own[0]) + 1).tolist() if most else ():
             k = agreement(own[p:], own[:-p]) + p
             if k >= 2 * p and (best is None or (head + k, -head - p) > best[0]):
                 best = ((head + k, -head - p), x[: head + p].tolist(), head)
+            if k == len(own):  # longer tables and heads can't do better
+                return best[1:]
     return best and best[1:]
 
 
@@ -354,4 +378,7 @@ def fitted(segments: DataFrame, keys: list[str], values: str = "v") -> DataFrame
 
     names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
     own = ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in keys)
-    return segments.select(*keys, F.col(values).cast("array<long>").alias(values)).mapInArrow(fit, f"{own}, " + ", ".join(f"{n} {names[t]}" for n, t in kinds.items()))
+    # A segment takes milliseconds and few bytes, so segments are dealt to many tasks, whatever the files they come from.
+    spark = segments.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return segments.select(*keys, F.col(values).cast("array<long>").alias(values)).repartition(tasks, *keys).mapInArrow(fit, f"{own}, " + ", ".join(f"{n} {names[t]}" for n, t in kinds.items()))

@@ -27,11 +27,10 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seg_id, kind, v: a segment of one kind for each order line."""
     segments = _generators(spark, sf_dir).withColumn("dur", F.lit(FRAMES).cast("long")).withColumn("kind", F.pmod("seg_id", F.lit(len(TOLD))))
-    # A mask that does not move for long, or a table whose entries are equal, is another kind's.
     own = {c: F.col(c) for c in segments.columns}
-    frames = F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"))
-    made = reduce(lambda out, k: F.when(F.col("kind") == TOLD.index(k), F.transform(frames, lambda i: machine.values(i, machine.preset(k, own)))).otherwise(out), TOLD, F.lit(None).cast("array<long>"))
-    return segments.select("seg_id", F.element_at(F.array(*map(F.lit, TOLD)), (F.col("kind") + 1).cast("int")).alias("kind"), made.alias("v"))
+    made = reduce(lambda out, k: F.when(F.col("kind") == TOLD.index(k), F.struct(*(x.alias(n) for n, x in machine.preset(k, own).items()))).otherwise(out), TOLD, F.lit(None))
+    name = F.element_at(F.array(*map(F.lit, TOLD)), (F.col("kind") + 1).cast("int")).alias("kind")
+    return machine.sequences(segments.select("seg_id", name, F.col("dur").alias("length"), made.alias("m")).select("seg_id", "kind", "length", "m.*"), ["seg_id", "kind"])
 
 
 def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lanewright.operators import machine
 from lanewright.operators.machine import DEFAULTS, agreement, first_machine, folded, pieces, run
@@ -70,7 +71,11 @@ def test_closed_forms_are_those_of_the_state(spark):
         assert run(m, 60).tolist() == stepped(m, 60), m
     schema = "k long, start_frame long, length long, mode string, table array<long>, mask array<long>, " + ", ".join(f"{n} long" for n in machine.NUMBERS)
     rows = [(k, 5, k % 40, m["mode"], m["table"], m["mask"], *(m[n] for n in machine.NUMBERS)) for k, m in enumerate(made)]
-    got = {(r["k"], r["i"]): r["v"] for r in machine.rendered(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    frame = spark.createDataFrame(rows, schema)
+    got = {(r["k"], r["i"]): r["v"] for r in machine.rendered(frame, ["k"]).collect()}
+    columns = frame.filter("length > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    columns = columns.select("k", "i", machine.values(F.col("i"), {c: F.col(c) for c in ("mode", "table", "mask", *machine.NUMBERS)}).alias("v"))
+    assert {(r["k"], 5 + r["i"]): r["v"] for r in columns.collect()} == got
     assert got == {(k, 5 + i): v for k, m in enumerate(made) for i, v in enumerate(stepped(m, k % 40))}
 
 
