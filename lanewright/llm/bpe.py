@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Closes a word where merges are ranks of byte strings. Runs that hold it take another way.
+END = b"\x01"
 #: Words of a batch are padded to one of these widths; longer ones go through encode_long.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 NONE = np.int32(2**31 - 1)
@@ -227,6 +231,50 @@ def byte_pattern() -> re.Pattern:
     return re.compile(f"{_CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def byte_string(s: str) -> bytes:
+    """The bytes that a token's string of stand-ins is for."""
+    back = _stand_ins()
+    return bytes(map(back.__getitem__, s))
+
+
+@lru_cache(maxsize=1)
+def _stand_ins() -> dict[str, int]:
+    return {c: b for b, c in enumerate(_byte_chars())}
+
+
+def rust_class(content: str) -> str:
+    """A class content of `classes` as the tokenizer library's expressions write it."""
+    return re.sub(r"\\(?:U([0-9a-f]{8})|u([0-9a-f]{4})|x([0-9a-f]{2}))", lambda m: f"\\x{{{m[1] or m[2] or m[3]}}}", content)
+
+
+def cut_at(ids: np.ndarray, mark: int) -> pa.Array:
+    """Runs of ids (two bytes each) between marks, as binary values; as many as there are marks, and one."""
+    inside = ids != mark
+    ends = np.append(np.flatnonzero(~inside), len(ids))
+    offsets = np.concatenate([[0], 2 * (ends - np.arange(len(ends)))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids[inside].astype("<u2").tobytes())])
+
+
+def joined_strings(values: pa.Array, mark: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), mark)[0].as_py()
+
+
+def looked_up(runs: pa.ListArray, simple: str, many, one) -> tuple[list[bytes], np.ndarray]:
+    """(values of the runs of each list, joined; which lists have a run without a value). Each distinct run is looked up once:
+    those that match `simple` by one call of many(array) -> binary array, the others by one(strings) -> list of bytes or None."""
+    found = runs.flatten().dictionary_encode()
+    own = pc.match_substring_regex(found.dictionary, simple)
+    easy, hard = found.dictionary.filter(own), found.dictionary.filter(pc.invert(own)).to_pylist()
+    values = pa.concat_arrays([many(easy) if len(easy) else pa.array([], pa.binary()), pa.array(one(hard), pa.binary())])
+    own = own.to_numpy(zero_copy_only=False)
+    place = np.where(own, np.cumsum(own) - 1, len(easy) + np.cumsum(~own) - 1)
+    flat = values.take(pa.array(place[found.indices.to_numpy()]))
+    at = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+    bounds, data = np.frombuffer(flat.buffers()[1], np.int32)[at].tolist() if len(flat) else [0] * len(at), memoryview(flat.buffers()[2] or b"")
+    missing = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])[at]
+    return [bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.diff(missing) > 0
+
+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -289,6 +337,47 @@ class WordCoder:
     def joined(self, values: list):
         return b"".join(values)
 
+    @cached_property
+    def fast(self):
+        """The merges as ranks of byte strings in which END closes a word, if the ids are in their order; else None. And the id
+        for each rank: single bytes, those that end a word, merges."""
+        made = self.bpe.made
+        if not (np.diff(made) > 0).all() or not self.bpe.end:
+            return None
+        import tiktoken
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + END: 256 + b for b in range(256)}
+        for k, i in enumerate(made.tolist()):
+            s = self.bpe.strings[i]
+            ranks[byte_string(s.removesuffix(self.bpe.end)) + END * s.endswith(self.bpe.end)] = 512 + k
+        if len(ranks) < 512 + len(made):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"\n|[^\x01\n]*\x01", mergeable_ranks=ranks, special_tokens={}), np.concatenate([self.bpe.inner, self.bpe.last, made])
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of all texts of a column, as encode_all gives them. Nothing is kept from call to call: of a large vocabulary
+        most words are rare, and looking for them among those that were kept takes longer than merging them again."""
+        if not self.fast or not len(texts):
+            return self.encode_all(texts.to_pylist())
+        texts = pc.fill_null(texts, "")
+        encoding, ids = self.fast
+        mark = ord("\n")
+
+        def many(runs: pa.Array) -> pa.Array:
+            words = word_pattern().sub("\\g<0>\x01", fold(joined_strings(runs, "\n")))
+            got = encoding.encode_to_numpy(words)
+            return cut_at(np.where(got == mark, 1 << 16, ids[got]), 1 << 16)
+
+        def one(runs: list[str]) -> list[bytes]:
+            own = [units(r) for r in runs]
+            self.learn(set().union(*own))
+            return [b"".join(map(self.known.__getitem__, x)) for x in own]
+
+        out, _ = looked_up(pc.ascii_split_whitespace(texts), f"^[^\\x01{rust_class(classes()[2])}]+$", many, one)
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode_all([texts[i].as_py()])[0]
+        return out
+
     def encode(self, text: str):
         """The value of a text whose units are known."""
         return self.joined(list(map(self.known.__getitem__, units(text))))

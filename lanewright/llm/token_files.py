@@ -23,10 +23,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _byte_chars, byte_pattern, classes, load
+from .bpe import _CONTRACTIONS, byte_pattern, byte_string, classes, cut_at, joined_strings, load, looked_up, rust_class
 from .common import Steps, kept, running_total, slices
 
 #: Closes a record. Its first character does not occur in it again, so no other place can close a record early.
@@ -34,6 +35,8 @@ SYNC = "~token-ids-sync"
 #: magic, bytes of an id, file number, record number, ordinal of the first document in the file, documents, ids
 HEADER = struct.Struct("<4sIIIQII")
 MAGIC = b"TID1"
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 22
 #: Ids in a block and in a record, and the share of differences that a block's width must hold.
 BLOCK, RECORD, SHARE = 128, 1 << 18, 0.9
 #: The document goes on from the record before; into the next record.
@@ -60,8 +63,11 @@ class ByteCoder:
             return None
         import tiktoken
 
-        back = {c: b for b, c in enumerate(_byte_chars())}
-        ranks = {bytes(map(back.__getitem__, s)): i for i, s in self.bpe.strings.items() if i not in self.bpe.special.values()}
+        ranks = {byte_string(s): i for i, s in self.bpe.strings.items() if i not in self.bpe.special.values()}
+        letter, number, space = map(rust_class, classes())
+        #: byte_pattern for runs without white space but a space or a line end in front, with a mark between two runs.
+        pattern = f"\\x00|\\n|{_CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[^\\x00{space}{letter}{number}]+"
+        self.whole = tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return tiktoken.Encoding("pieces", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -125,6 +131,31 @@ class ByteCoder:
         return out
 
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of all texts of a column, as encode_all gives them. Runs are merged once a call; none is kept, as most runs are
+        rare and looking for them among many takes longer than merging them again."""
+        if not self.fast or not len(texts):
+            return self.encode_all(texts.to_pylist())
+        texts = pc.fill_null(texts, "")
+
+        def many(runs: pa.Array) -> pa.Array:
+            runs = pc.if_else(pc.starts_with(runs, "\n"), runs, pc.binary_join_element_wise(" ", runs, ""))
+            return cut_at(self.whole.encode_to_numpy(joined_strings(runs, "\0")), int(self.bpe.inner[0]))
+
+        def one(runs: list[str]) -> list[bytes | None]:
+            self.learn(set(runs))
+            return [self.runs[r] for r in runs]
+
+        # A line end in front of each text, as above.
+        runs = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        out, missing = looked_up(runs, f"^\\n?[^\\x00{rust_class(classes()[2])}]+$", many, one)
+        out = [ids[len(self.newline) :] for ids in out]
+        marked = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(marked | missing).tolist():
+            out[i] = self.encode_all([texts[i].as_py()])[0]
+        return out
+
+
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values at so many bits each, the lowest bit first."""
     bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(*values.shape, values.itemsize), axis=-1, bitorder="little")
@@ -258,8 +289,8 @@ def write_token_files(docs: DataFrame, at: str, path: str, end: int = 2, id_col:
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["record"])
 
-        for b in slices(batches, "text", 1 << 20):
-            for i, ids in zip(b["id"].to_pylist(), c.encode_all(b["text"].to_pylist()), strict=True):
+        for b in slices(batches, "text", SLICE):
+            for i, ids in zip(b["id"].to_pylist(), c.encode_column(b["text"]), strict=True):
                 ids += stop
                 n, done = len(ids) // 2, 0
                 while done < n:
