@@ -22,6 +22,8 @@ from .common import Steps, kept, running_total, slices
 
 #: Length classes in a window.
 CLASSES = 64
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 22
 #: Positions of a block of the room that the rest of the tokens is dealt into.
 BLOCK = 1 << 16
 
@@ -144,10 +146,10 @@ def tokenised(docs: DataFrame, path: str, end: int, window: int, with_ids: bool
 
         c, part = kept(WordCoder, path, units), TaskContext.get().partitionId()
         stop, ranks = np.array([end], "<u2").tobytes(), [0] * (CLASSES + 2)
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SLICE):
             rows: list[tuple] = []
             each: list[int] = []
-            for k, coded in enumerate(c.encode_all(b["text"].to_pylist())):
+            for k, coded in enumerate(c.encode_column(b["text"])):
                 coded += stop
                 total = len(coded) // 2
                 for start in range(0, total, window):
