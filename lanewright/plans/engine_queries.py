@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import scalars
-from ..operators import compression, cover, encoding, fits, framing, generators, lanes, ramps, relations
+from ..operators import compression, cover, encoding, fits, framing, generators, lanes, machine, ramps, relations
 from .coding_queries import NOTES
 from .queries import BIN, BURST, KINDS, LANE, LOG, Q, SQL, STATE, add, lane  # noqa: F401
 
@@ -39,9 +39,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generators.
 
 
-def _generators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with all parameters from all order lines."""
+def _generators(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """Segments with all parameters from all order lines. deal: order lines are dealt to many tasks first, as they take fewest bytes."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = machine.dealt(x, ["l_orderkey", "l_linenumber"]) if deal else x
     q, part, supp, line = F.col("l_quantity").cast("long"), F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"), F.col("l_linenumber").cast("long")
     one = F.lit(1).cast("long")
     return x.select(

@@ -26,11 +26,9 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seg_id, kind, v: a segment of one kind for each order line."""
-    segments = _generators(spark, sf_dir).withColumn("dur", F.lit(FRAMES).cast("long")).withColumn("kind", F.pmod("seg_id", F.lit(len(TOLD))))
-    own = {c: F.col(c) for c in segments.columns}
-    made = reduce(lambda out, k: F.when(F.col("kind") == TOLD.index(k), F.struct(*(x.alias(n) for n, x in machine.preset(k, own).items()))).otherwise(out), TOLD, F.lit(None))
-    name = F.element_at(F.array(*map(F.lit, TOLD)), (F.col("kind") + 1).cast("int")).alias("kind")
-    return machine.sequences(segments.select("seg_id", name, F.col("dur").alias("length"), made.alias("m")).select("seg_id", "kind", "length", "m.*"), ["seg_id", "kind"])
+    name = F.element_at(F.array(*map(F.lit, TOLD)), (F.pmod("seg_id", F.lit(len(TOLD))) + 1).cast("int"))
+    segments = _generators(spark, sf_dir, deal=True).withColumn("dur", F.lit(FRAMES).cast("long")).withColumn("kind", name)
+    return machine.preset_sequences(segments, ["seg_id", "kind"], "kind", TOLD)
 
 
 def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +38,8 @@ def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = machine.fitted(_told(spark, sf_dir), ["seg_id", "kind"])
-    return machine.rendered(fits, ["seg_id"]).groupBy("seg_id").agg(F.sum((F.col("i") + 1) * F.col("v")).cast("long").alias("digest"))
+    fits = machine.fitted(_told(spark, sf_dir), ["seg_id", "kind"], deal=False)
+    return machine.digests(fits, ["seg_id"]).groupBy("seg_id").agg(F.sum("digest").alias("digest"))
 
 
 def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,52 @@ def test_machines_are_found_again(mode):
     assert whole >= 0.9 * total, (mode, whole, total)
 
 
+def test_whole_machines_are_those_of_the_plain_search():
+    """Side by side, the same machine is found for each segment that one machine explains, and none for the others."""
+    rng = random.Random(11)
+    for n in (30, 61):
+        made = [invented(rng, mode) for mode in ("read", "sum", "held", "wrap", "reflect", "fold") * 12]
+        made += [m | {"mask": None, "table": [rng.randrange(1, 60)], "loop": 0, "start": 0, "dwell": 1, "phase": 0, "lead": 0} for m in made]
+        v = np.array([stepped(m, n) for m in made] + [[7] * n] + [[rng.randrange(3) for _ in range(n)] for _ in range(8)])
+        good, found, costs = machine.whole_machines(v)
+        assert good.sum() > 60
+        for j, own in enumerate(v):
+            length, want = first_machine(own)
+            assert good[j] == (length == n), (j, want)
+            if good[j]:
+                got = {k: x[j] for k, x in found.items() if k not in ("table", "mask")} | {k: found[k].cells[j, : found[k].size[j]].tolist() for k in ("table", "mask")}
+                assert got | {"mask": got["mask"] or None} == want and costs[j] == machine.cost(want)
+    several = [*v[:40]] + [np.concatenate([a, b]) for a, b in zip(v[40:60], v[60:80], strict=True)] + [np.array([5])]
+    got = {}
+    for each, cols in machine._machines_of(several):
+        columns = {c: x.to_pylist() if hasattr(x, "to_pylist") else list(x) for c, x in cols.items()}
+        for i, k in enumerate(each.tolist()):
+            got.setdefault(k, {})[columns["piece"][i]] = (columns["start_frame"][i], columns["length"][i], {c: columns[c][i] for c in columns if c not in ("piece", "start_frame", "length", "cost")})
+    assert [[x for _, x in sorted(got[k].items())] for k in range(len(several))] == [pieces(x) for x in several]
+
+
+def test_segments_of_one_machine_take_no_plain_search(spark, monkeypatch):
+    from lanewright.plans.machine_queries import _told
+
+    v = [np.array(r["v"]) for r in _told(spark, "/root/testdata/sf0.001").filter("seg_id % 5 < 2").collect()]
+    monkeypatch.setattr(machine, "first_machine", None)
+    found = list(machine._machines_of(v))
+    assert sum(len(each) for each, _ in found) == len(v) > 1000
+
+
+def test_presets_on_arrays_are_those_on_columns(spark):
+    from lanewright.plans.engine_queries import _generators
+
+    rows = _generators(spark, "/root/testdata/sf0.001").limit(300).withColumn("dur", F.lit(20).cast("long")).cache()
+    for k in machine.PRESETS:
+        m = machine.machines(rows, "seg_id", k)
+        by_column = m.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+        want = by_column.groupBy("seg_id").agg(F.sum((F.col("i") + 1) * machine.values(F.col("i"), {c: F.col(c) for c in ("mode", "table", "mask", *machine.NUMBERS)})).alias(k)).collect()
+        got = machine.preset_digests(rows, "seg_id", [k]).groupBy("seg_id").agg(F.sum(k).alias(k)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)), k
+        assert sorted(map(tuple, machine.digests(m, ["seg_id"]).groupBy("seg_id").agg(F.sum("digest")).collect())) == sorted(map(tuple, want)), k
+
+
 def test_pieces_use_up_a_segment():
     rng = random.Random(5)
     for _ in range(40):
