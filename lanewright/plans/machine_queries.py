@@ -19,9 +19,8 @@ _KINDS = [k for k in machine.PRESETS if k in _GEN]
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What generator_forms gives, by the presets of the one generator."""
-    segments = _generators(spark, sf_dir).filter("dur > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)))
-    own = {c: F.col(c) for c in segments.columns}
-    return segments.groupBy("seg_id").agg(*(F.sum((F.col("i") + 1) * machine.values(F.col("i"), machine.preset(k, own))).cast("long").alias(k) for k in _KINDS))
+    segments = _generators(spark, sf_dir, deal=True).filter("dur > 0")
+    return machine.preset_digests(segments, "seg_id", _KINDS).groupBy("seg_id").agg(*(F.sum(k).alias(k) for k in _KINDS))
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
