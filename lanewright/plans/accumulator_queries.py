@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import accumulators, framing
+from ..operators import accumulators, framing, machine
 from .queries import LANE, Q, SQL, add, lane
 
 FRAMES = 40
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, first, v: for each order line values of a ramp, a quadratic, a triangle, or of none of these."""
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    q, part, supp, line = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("long")
-    frames = F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"))
-    kind, up = (part + q) % 4, q % 5 + 1
-    tri = lambda i: F.least(F.pmod(supp % 7 + i * up, F.lit(60)), 60 - F.pmod(supp % 7 + i * up, F.lit(60)))
-    v = F.transform(frames, lambda i: F.when(kind == 0, part + i * (q - 25)).when(kind == 1, part + i * q + (i * (i - 1) / 2).cast("long") * (line - 3)).when(kind == 2, 100 + tri(i)).otherwise((part * i * i * i + supp) % 1000).bitwiseAND(65535))
-    return x.select((F.col("l_orderkey") * 8 + line).alias("cell"), (line * 3).alias("first"), v.alias("v"))
+    """cell, first, v: for each order line values of a ramp, a quadratic, a triangle, or of none of these. What is dealt to many tasks
+    are the order lines, as they take fewer bytes."""
+    x = machine.dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = np.arange(FRAMES)
+        for b in batches:
+            order, line, q, part, supp = (np.asarray(c, np.int64)[:, None] for c in b.columns)
+            turn = (supp % 7 + i * (q % 5 + 1)) % 60
+            forms = [part + i * (q - 25), part + i * q + i * (i - 1) // 2 * (line - 3), 100 + np.minimum(turn, 60 - turn)]
+            kind = (part + q) % 4
+            v = np.select([kind == k for k in range(3)], forms, (part * i * i * i + supp) % 1000) & 65535
+            at = np.arange(len(v) + 1, dtype=np.int32) * FRAMES
+            yield pa.RecordBatch.from_arrays([pa.array((order * 8 + line)[:, 0]), pa.array(line[:, 0] * 3), pa.ListArray.from_arrays(pa.array(at), pa.array(v.reshape(-1)))], ["cell", "first", "v"])
+
+    rows = x.select(*(F.col(f"l_{c}").cast("long") for c in ("orderkey", "linenumber", "quantity", "partkey", "suppkey")))
+    return rows.mapInArrow(made, "cell long, first long, v array<long>")
 
 
 _SQL = f"""WITH s AS (SELECT row_number() OVER () AS rid, l_orderkey * 8 + l_linenumber AS cell, l_linenumber::BIGINT AS line, l_quantity::BIGINT AS q, l_partkey AS part, l_suppkey AS supp, (l_partkey + l_quantity::BIGINT) % 4 AS k FROM lineitem),

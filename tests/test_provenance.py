@@ -87,3 +87,23 @@ def test_accumulators(spark, kind):
     assert kinds.keys() == {*range(60), 99} and kinds[99] == 3 and all(x <= kind for k, x in kinds.items() if k < 60)
     got = {(r["k"], r["frame"]): r["acc"] for r in accumulators.grids(found.withColumn("end", F.col("first") + F.col("n")), ["k"], "first", "end").collect()}
     assert got == {(k, 4 + i): x for k, v in [*rows, (99, [1, 5, 1, 9, 2, 2])] for i, x in enumerate(v)}
+
+
+def test_digests_of_accumulators_are_those_of_their_grids(spark):
+    rng = random.Random(4)
+    made = [[rng.randrange(70000) for _ in range(rng.randrange(1, 6))] for _ in range(60)]
+    made += [[a + i * r for i in range(rng.randrange(1, 50))] for a, r in ((rng.randrange(70000), rng.randrange(-900, 900)) for _ in range(60))]
+    made += [[a + i * r + i * (i - 1) // 2 * s for i in range(30)] for a, r, s in ((rng.randrange(900), rng.randrange(9), rng.randrange(-5, 5)) for _ in range(60))]
+    made += [[5 + min((i * 3) % 60, 60 - (i * 3) % 60) for i in range(n)] for n in range(1, 60)]
+    rows = [(k, k % 7 - 2, k % 7 - 2 + rng.randrange(-3, 60), v) for k, v in enumerate([*made, [], None])]
+    frame = spark.createDataFrame(rows, "k long, a int, b long, v array<long>").repartition(3)
+    found = accumulators.fits(frame, ["k", "a", "b"]).cache()
+    assert found.count() == len(made) and set(r["kind"] for r in found.collect()) == {0, 1, 2, 3}
+    want = accumulators.grids(found, ["k"], "a", "b").groupBy("k").agg(F.sum(F.col("frame") * F.col("acc")).alias("d"))
+    assert sorted(map(tuple, accumulators.digests(found, ["k"], "a", "b").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_accumulators_with_nulls_keep_their_values(spark):
+    rows = [(0, [3, None, 5]), (1, [None, 4]), (2, [70000, 70001])]
+    got = {r["k"]: (r["kind"], r["seed"], r["n"], r["raw"]) for r in accumulators.fits(spark.createDataFrame(rows, "k long, v array<long>"), ["k"]).collect()}
+    assert got == {0: (accumulators.RAW, 3, 3, [3, None, 5]), 1: (accumulators.RAW, 0, 2, [None, 4]), 2: (accumulators.RAMP, 4464, 2, None)}
