@@ -50,7 +50,7 @@ SQL["accumulator_fits"] = _SQL + f" SELECT cell, kind, v0 AS seed, CASE kind WHE
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values again, from what was fitted, on the frames that they belong to."""
     found = accumulators.fits(_cells(spark, sf_dir), ["cell", "first"]).withColumn("frames", F.col("first") + FRAMES)
-    return accumulators.grids(found, ["cell"], "first", "frames").groupBy("cell").agg(F.sum(F.col("frame") * F.col("acc")).cast("long").alias("digest"))
+    return accumulators.digests(found, ["cell"], "first", "frames").groupBy("cell").agg(F.sum("digest").alias("digest"))
 
 
 Q["accumulator_grids"], SQL["accumulator_grids"] = _grids, _SQL + " SELECT cell, sum((i + 3 * line) * v)::BIGINT AS digest FROM x GROUP BY 1"
