@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -64,3 +66,13 @@ def test_tricky_texts(spark):
         if text not in ("-0", "00", "[-0]"):
             assert json.loads(found[k]) == json.loads(text)
     assert shred[0]["shape"] == '{"a:i,":s,"c\\"d":[s,i]}' and found[10] == "-0" and found[7] == "[1,2]"
+
+
+def test_digits_and_numbers():
+    """Of all rows at once; digits without an end make no number."""
+    numbers = np.array([0, 1, 15, 16, 255, 256, 1 << 40, (1 << 62) + 5, -1], np.int64)
+    digits, n = shapes._digits(numbers)
+    assert n.tolist() == [1, 1, 1, 2, 2, 3, 11, 16, 16]
+    rows = pa.array([[*digits[:5].tolist(), 3], digits[5:].tolist()], pa.list_(pa.int32()))
+    found = shapes._numbers(pa.RecordBatch.from_arrays([rows], ["ids"]))
+    assert found["shape_id"].to_pylist() == [0, 255] and found["_n"].to_pylist() == [[0, 1, 15, 16], numbers[4:].tolist()]
