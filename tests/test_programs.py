@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,16 @@ def test_songs_in_spark(spark):
 def test_what_is_no_song_is_refused(ids):
     with pytest.raises(ValueError, match="cut off|unknown|no program|more tokens"):
         song_of(ids)
+
+
+def test_long_values_are_squeezed_in_bounded_memory():
+    """No objects for values: numbers of 8 bytes, a few for each value."""
+    import tracemalloc
+
+    values = np.random.default_rng(0).integers(0, 256, 200_000)
+    tracemalloc.start()
+    got = squeezed(values[:500]), programs.squeezed_array(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == greedy(values[:500].tolist()) and peak < 100 * len(values)
+    assert unsqueezed(got[1].tolist(), 0, len(values))[0] == values.tolist()
